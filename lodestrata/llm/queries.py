@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, langid, mixing, pii, quality
+from . import bpe_sql, exact_dedup, html_extract, langid, mixing, pii, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_sql.encode_decode(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_html_extraction, op4_exact_dedup, op6_mixing, op7_pii, op8_language_id]
+    found = [op1_quality_rules, op2_html_extraction, op4_exact_dedup, op5_token_files, op6_mixing, op7_pii, op8_language_id, op9_bpe_sql]
     return {f.__name__: f for f in found}
 
 
