@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_sql, exact_dedup, html_extract, langid, mixing, pii, quality, token_files
+from . import bpe_sql, exact_dedup, html_extract, langid, mixing, pii, quality, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,12 @@ def op9_bpe_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_sql.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_html_extraction, op4_exact_dedup, op5_token_files, op6_mixing, op7_pii, op8_language_id, op9_bpe_sql]
+    found = [op1_quality_rules, op2_html_extraction, op4_exact_dedup, op5_token_files, op6_mixing, op7_pii, op8_language_id, op9_bpe_sql, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
