@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import exact_dedup, langid, mixing
+from lodestrata.llm import bpe_sql, exact_dedup, langid, mixing, ngram_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,15 +29,28 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(*COLUMNS).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates."""
+    kept = ngram_join.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
+    return docs.select(*COLUMNS).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.copies(docs.select(*COLUMNS))
 
 
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document of the mix, copies too."""
+    return bpe_sql.encode_decode(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_stage),
     ("exact_dedup", exact_stage),
+    ("ngram_join", near_stage),
     ("mixing", mixing_stage),
+    ("bpe", encoding_stage),
 ]
 #: Language ID and the encoder can't be said in SQL.
 ORACLE_SQL = None

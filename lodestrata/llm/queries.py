@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_sql, exact_dedup, html_extract, langid, mixing, pii, quality, substring_dedup, token_files
+from . import bpe_sql, exact_dedup, html_extract, langid, mixing, ngram_join, pii, quality, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -51,9 +55,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_html_extraction, op4_exact_dedup, op5_token_files, op6_mixing, op7_pii, op8_language_id, op9_bpe_sql, op10_substring_dedup]
+    found = [op1_quality_rules, op2_html_extraction, op3_ngram_join, op4_exact_dedup, op5_token_files, op6_mixing, op7_pii, op8_language_id, op9_bpe_sql, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op3_ngram_join": ngram_join.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
