@@ -4,16 +4,343 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestrata.functions import text as T
+from lodestrata.operators import elements as E
+from lodestrata.operators import evaluate, sections, segment, vectors, views
+from lodestrata.plans import chunking
+from lodestrata.sources import files
+from lodestrata.streaming import sessions
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: Elements made of order lines: a supplier is a document. Spark and DuckDB both read this.
+_ELEMENTS = """
+SELECT l_suppkey AS doc_id,
+  CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS INT) AS idx,
+  CAST(1 + l_orderkey % 7 AS INT) AS page,
+  CASE WHEN l_linenumber = 1 THEN 'SectionHeaderItem' WHEN l_linenumber = 4 THEN 'TableItem' WHEN l_linenumber = 3 THEN 'ListItem' ELSE 'TextItem' END AS type,
+  CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 1 THEN concat(CAST(l_orderkey % 9 + 1 AS STRING), ' ', p_name)
+       WHEN l_linenumber = 1 AND l_orderkey % 3 = 2 THEN concat(CAST(l_orderkey % 9 + 1 AS STRING), '.', CAST(l_partkey % 5 + 1 AS STRING), ' ', p_name)
+       WHEN l_linenumber = 4 AND l_orderkey % 5 = 0 THEN '. . . . 1'
+       WHEN l_linenumber = 5 AND l_orderkey % 11 = 0 THEN '' ELSE p_name END AS text
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
+_SPANS = """
+SELECT l_suppkey AS doc_id, CAST(l_orderkey % 500 AS INT) AS block,
+  CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey % 500, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS INT) AS pos,
+  CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS block_type, CAST(p_size AS DOUBLE) AS size, CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN 16 ELSE 0 END AS flags, p_name AS text
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
+_UNITS = """
+SELECT CAST(floor(vec_id / 50) AS BIGINT) AS doc_id, vec_id AS k, embedding AS vector, n_chars, CAST(floor(vec_id % 50 / 9) AS STRING) AS major
+FROM {embeddings} JOIN {documents} ON doc_id = vec_id"""
+
+
+def _bare(sql: str) -> str:
+    for name in ("lineitem", "part", "embeddings", "documents"):
+        sql = sql.replace("{" + name + "}", name)
+    return sql
+
+
+_E, _S, _U = f"elements AS ({_bare(_ELEMENTS)})", f"spans AS ({_bare(_SPANS)})", f"units AS ({_bare(_UNITS)})"
+_HEADINGS = _E + r""", h0 AS (
+  SELECT *, nullif(regexp_extract(text, '^\s*(\d+(?:\.\d+)*)\.?\s+', 1), '') AS number, row_number() OVER (PARTITION BY doc_id ORDER BY idx)::INT AS section_id FROM elements WHERE type = 'SectionHeaderItem'
+), h1 AS (
+  SELECT *, len(string_split(number, '.')) AS own FROM h0
+), h2 AS (
+  SELECT *, count(own) OVER w AS island, coalesce(last_value(own IGNORE NULLS) OVER w, 0) AS base FROM h1 WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)
+), h AS (
+  SELECT doc_id, section_id, idx, page, number, text, (base + sum((own IS NULL)::INT) OVER (PARTITION BY doc_id, island ORDER BY idx))::INT AS level FROM h2
+)"""
+_PATHS = _HEADINGS + """, par AS (
+  SELECT a.*, coalesce((SELECT max(b.section_id) FROM h b WHERE b.doc_id = a.doc_id AND b.section_id < a.section_id AND b.level < a.level), 0) AS parent_id FROM h a
+), sec AS (
+  SELECT *, [section_id] AS path, text AS heading_path FROM par WHERE parent_id = 0
+  UNION ALL
+  SELECT p.*, list_append(s.path, p.section_id), s.heading_path || ' > ' || p.text FROM par p JOIN sec s ON s.doc_id = p.doc_id AND s.section_id = p.parent_id
+)"""
+_PLACED = r"""placed AS (
+  SELECT *, sum((type = 'SectionHeaderItem')::INT) OVER (PARTITION BY doc_id ORDER BY idx)::INT AS section_id FROM elements
+  WHERE NOT (type = 'TableItem' AND length(text) - length(replace(text, '.', '')) > length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')))
+    AND (type IN ('TableItem', 'SectionHeaderItem') OR text <> '')
+)"""
+_CHUNKS = _PATHS + ", " + _PLACED + """, f AS (
+  SELECT *, (type = 'SectionHeaderItem' OR type = 'TableItem' OR coalesce(lag(type) OVER w = 'TableItem', false))::INT AS cut,
+    first_value(CASE type WHEN 'SectionHeaderItem' THEN 'new_heading' WHEN 'TableItem' THEN 'before_table' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
+), g AS (
+  SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM f
+), c AS (
+  SELECT doc_id, section_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(idx)) - 1 AS id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text, list_sort(list(DISTINCT page)) AS pages,
+    bool_or(type = 'TableItem') AS contains_table, max(next) AS next, list(idx ORDER BY idx) AS element_idxs
+  FROM g WHERE type <> 'SectionHeaderItem' GROUP BY doc_id, section_id, run
+), chunks AS (
+  SELECT c.*, length(c.text) AS n_chars, CASE WHEN contains_table THEN 'table_atomic' ELSE coalesce(next, 'end') END AS flush_reason, number, sec.text AS heading, coalesce(level, 0) AS heading_level, coalesce(heading_path, '') AS heading_path
+  FROM c LEFT JOIN sec USING (doc_id, section_id)
+)"""
+_COSTS = _U + """, u AS (
+  SELECT *, row_number() OVER w AS p, coalesce(major <> lag(major) OVER w, false)::INT AS crossing FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), t AS (
+  SELECT doc_id, count(*) AS n, greatest(12, least(30, round_even(sum(n_chars) / 2000.0::DOUBLE, 0)::INT)) AS target_k, sum(n_chars)::DOUBLE / target_k AS tc FROM u GROUP BY doc_id
+), d AS (
+  SELECT doc_id, p, generate_subscripts(vector, 1) AS d, unnest(vector)::DOUBLE AS x FROM u
+), ps AS (
+  SELECT doc_id, p, d, sum(x) OVER (PARTITION BY doc_id, d ORDER BY p) AS s FROM d UNION ALL SELECT DISTINCT doc_id, 0, d, 0.0::DOUBLE FROM d
+), n2 AS (
+  SELECT a.doc_id, a.p AS i, b.p AS j, sum((b.s - a.s) * (b.s - a.s)) AS q FROM ps a JOIN ps b ON a.doc_id = b.doc_id AND a.d = b.d AND a.p < b.p GROUP BY ALL
+), cs AS (
+  SELECT doc_id, p, sum(n_chars) OVER w AS len, sum(crossing) OVER w AS cr FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY p) UNION ALL SELECT doc_id, 0, 0, 0 FROM t
+), cost AS (
+  SELECT n2.doc_id, n2.i, n2.j, CASE WHEN n2.j - n2.i > 1 THEN 1 - (q - (n2.j - n2.i)) / ((n2.j - n2.i) * (n2.j - n2.i - 1)) ELSE 0 END
+    + ((e.len - b.len - tc) / tc) ** 2 + 0.3::DOUBLE * (e.cr - f.cr) AS c
+  FROM n2 JOIN cs b ON b.doc_id = n2.doc_id AND b.p = n2.i JOIN cs e ON e.doc_id = n2.doc_id AND e.p = n2.j JOIN cs f ON f.doc_id = n2.doc_id AND f.p = n2.i + 1 JOIN t ON t.doc_id = n2.doc_id
+), cl AS (
+  SELECT doc_id, j, list(c ORDER BY i) AS cl FROM cost GROUP BY ALL
+), dp AS (
+  SELECT doc_id, 0::BIGINT AS j, [0.0::DOUBLE] AS best, []::BIGINT[] AS par FROM t
+  UNION ALL
+  SELECT doc_id, j + 1, list_append(best, list_min(cand)), list_append(par, (list_position(cand, list_min(cand)) - 1)::BIGINT)
+  FROM (SELECT dp.doc_id, dp.j, best, par, list_transform(list_zip(best, cl), lambda x: round(x[1] + x[2], 12)) AS cand FROM dp JOIN cl ON cl.doc_id = dp.doc_id AND cl.j = dp.j + 1)
+), fin AS (
+  SELECT dp.*, t.target_k, t.tc, t.n FROM dp JOIN t USING (doc_id) WHERE dp.j = t.n
+), bt AS (
+  SELECT doc_id, par, par[n] AS first, n - 1 AS last FROM fin
+  UNION ALL
+  SELECT doc_id, par, par[first], first - 1 FROM bt WHERE first > 0
+), seg AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS id, first::INT AS first, last::INT AS last FROM bt
+)"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, **{n: _table(spark, sf_dir, n) for n in ("lineitem", "part", "embeddings", "documents") if "{" + n + "}" in sql})
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, _ELEMENTS)
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, _SPANS)
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, _UNITS)
+
+
+def _query(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents")
+
+
+# Elements
+_LINES = r"""lines AS (
+  SELECT doc_id, lang, i - 1 AS idx, regexp_replace(line, '^\s+|\s+$', '', 'g') AS text
+  FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), el AS (SELECT * FROM lines WHERE text <> '')"""
+_query("element_lines", lambda s, d: E.from_lines(_docs(s, d)).select("doc_id", "idx", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars")),
+       f"WITH {_LINES} SELECT doc_id, idx::INT AS idx, md5(text) AS text_md5, length(text)::INT AS n_chars FROM el")
+_query("extract_stats", lambda s, d: E.from_lines(_docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_elements"), F.sum(F.length("text")).alias("chars")),
+       f"WITH {_LINES} SELECT doc_id, count(*) AS n_elements, sum(length(text))::BIGINT AS chars FROM el GROUP BY doc_id")
+_query("plain_text", lambda s, d: files.documents(E.from_lines(_docs(s, d))).select("doc_id", F.md5("markdown").alias("md5"), F.length("markdown").alias("n_chars")),
+       f"WITH {_LINES} SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY idx)) AS md5, length(string_agg(text, chr(10) || chr(10) ORDER BY idx))::INT AS n_chars FROM el GROUP BY doc_id")
+_HTML = r"""raw AS (
+  SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?is)(<(?:h1|li|p)>[^<]*)', 1) AS found FROM pages
+), el AS (
+  SELECT page_id AS doc_id, unnest(found) AS raw, generate_subscripts(found, 1) - 1 AS idx FROM raw
+), he AS (
+  SELECT doc_id, idx, CASE lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)>', 1)) WHEN 'h1' THEN 'SectionHeaderItem' WHEN 'li' THEN 'ListItem' ELSE 'TextItem' END AS type,
+    regexp_replace(regexp_replace(raw, '^<[a-zA-Z0-9]+>', ''), '^\s+|\s+$', '', 'g') AS text FROM el
+)"""
+_query("html_elements", lambda s, d: E.from_html(_table(s, d, "pages")).select("doc_id", "idx", "type", F.md5("text").alias("text_md5")),
+       f"WITH {_HTML} SELECT doc_id, idx::INT AS idx, type, md5(text) AS text_md5 FROM he WHERE text <> ''")
+_query("element_type_counts", lambda s, d: E.type_counts(E.from_html(_table(s, d, "pages"))),
+       f"WITH {_HTML} SELECT type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM he WHERE text <> '' GROUP BY type")
+_query("list_marker", lambda s, d: E.from_lines(_docs(s, d)).withColumn("text", F.concat(F.element_at(F.array(*map(F.lit, ["", "- ", "1. ", "(a) ", "iv. ", "x "])), (F.col("idx") % 6 + 1).cast("int")), "text")).groupBy("doc_id").agg(F.count_if(T.is_list_item(F.col("text"))).alias("n_items")),
+       f"WITH {_LINES} SELECT doc_id, count_if(regexp_matches(['', '- ', '1. ', '(a) ', 'iv. ', 'x '][idx % 6 + 1] || text, '^\\s*([•·\\-*◦▪▫‣⁃]|\\d+[.)]|\\([a-zA-Z0-9]+\\)|[ivxIVX]+\\.)\\s+[A-Za-z0-9]'))::BIGINT AS n_items FROM el GROUP BY doc_id")
+_query("toc_filter", lambda s, d: elements(s, d).where("type = 'TableItem'").groupBy("doc_id").agg(F.count_if(T.is_contents_table(F.col("text"))).alias("n_contents"), F.count(F.lit(1)).alias("n_tables")),
+       rf"WITH {_E} SELECT doc_id, count_if(length(text) - length(replace(text, '.', '')) > length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')))::BIGINT AS n_contents, count(*) AS n_tables FROM elements WHERE type = 'TableItem' GROUP BY doc_id")
+_FONTS = _S + """, fh AS (
+  SELECT doc_id, round_even(size, 1) AS size, sum(length(text))::BIGINT AS chars, min(pos) AS first FROM spans WHERE block_type = 0 GROUP BY ALL
+), body AS (
+  SELECT doc_id, first_value(size) OVER (PARTITION BY doc_id ORDER BY chars DESC, first) AS body, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first) AS r FROM fh QUALIFY r = 1
+), hs AS (
+  SELECT doc_id, size, (row_number() OVER (PARTITION BY doc_id ORDER BY size DESC))::INT AS level FROM fh JOIN body USING (doc_id) WHERE size > body * 1.05::DOUBLE AND chars >= 5 QUALIFY level <= 4
+)"""
+_query("font_histogram", lambda s, d: E.font_histogram(spans(s, d)).select("doc_id", "size", "chars"), f"WITH {_FONTS} SELECT doc_id, size, chars FROM fh")
+_query("body_size", lambda s, d: E.body_size(E.font_histogram(spans(s, d))), f"WITH {_FONTS} SELECT doc_id, body FROM body")
+_query("heading_sizes", lambda s, d: E.heading_sizes(E.font_histogram(spans(s, d))), f"WITH {_FONTS} SELECT doc_id, size, level FROM hs")
+_BLOCKS = _FONTS + r""", bl AS (
+  SELECT doc_id, block, regexp_replace(string_agg(text, ' ' ORDER BY pos), '\s+', ' ', 'g') AS text, max(round_even(size, 1)) AS max_size, bool_or(flags & 16 <> 0) AS bold FROM spans WHERE block_type = 0 GROUP BY ALL
+), lv AS (
+  SELECT bl.*, coalesce(hs.level, CASE WHEN bold AND length(text) <= 120 AND max_size >= body THEN greatest(2, coalesce((SELECT max(level) FROM hs x WHERE x.doc_id = bl.doc_id), 0)) + 1 ELSE 0 END)::INT AS level
+  FROM bl JOIN body ON body.doc_id = bl.doc_id LEFT JOIN hs ON hs.doc_id = bl.doc_id AND hs.size = max_size
+)"""
+_query("block_classify", lambda s, d: (lambda sp: E.classify(E.blocks(sp), E.font_histogram(sp)))(spans(s, d)),
+       rf"WITH {_BLOCKS} SELECT doc_id, block, text, max_size, level, CASE WHEN level >= 1 AND length(text) <= 250 THEN 'SectionHeaderItem' WHEN regexp_matches(text, '^\s*([•·\-*◦▪▫‣⁃]|\d+[.)]|\([a-zA-Z0-9]+\)|[ivxIVX]+\.)\s+[A-Za-z0-9]') THEN 'ListItem' ELSE 'TextItem' END AS type FROM lv")
+_query("parent_heading", lambda s, d: E.parent_heading(elements(s, d)).select("doc_id", "idx", "parent_heading"),
+       f"WITH {_E} SELECT doc_id, idx, last_value(CASE WHEN type = 'SectionHeaderItem' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent_heading FROM elements")
+# Sections and structural chunks
+_query("heading_levels", lambda s, d: sections.headings(elements(s, d)).select("doc_id", "section_id", "number", "text", "level"), f"WITH {_HEADINGS} SELECT doc_id, section_id, number, text, level FROM h")
+_query("section_path", lambda s, d: sections.sections(elements(s, d)).select("doc_id", "section_id", "parent_id", F.array_join("path", "/").alias("path"), "heading_path"),
+       f"WITH RECURSIVE {_PATHS} SELECT doc_id, section_id, parent_id, array_to_string(path, '/') AS path, heading_path FROM sec")
+_query("section_rollup", lambda s, d: sections.rollup(elements(s, d)),
+       f"WITH RECURSIVE {_PATHS}, {_PLACED}, own AS (SELECT doc_id, section_id, sum(length(text))::BIGINT AS n FROM placed WHERE type <> 'SectionHeaderItem' GROUP BY ALL), r AS (SELECT sec.*, coalesce(n, 0) AS n FROM sec LEFT JOIN own USING (doc_id, section_id)), tot AS (SELECT doc_id, section_id, sum(n)::BIGINT AS n_chars_total FROM (SELECT doc_id, unnest(path) AS section_id, n FROM r) GROUP BY ALL) SELECT r.doc_id, r.section_id, r.level, r.n AS n_chars_self, n_chars_total FROM r JOIN tot USING (doc_id, section_id)")
+_query("doc_summary", lambda s, d: sections.summary(elements(s, d)),
+       f"WITH RECURSIVE {_PATHS} SELECT doc_id, arg_min(text, idx) FILTER (parent_id = 0) AS title, count(*) AS n_sections, (SELECT count(DISTINCT page) FROM elements e WHERE e.doc_id = sec.doc_id) AS n_pages FROM sec GROUP BY doc_id")
+_query("structural_chunks", lambda s, d: sections.structural_chunks(elements(s, d)).select("doc_id", "id", "section_id", "number", "heading", "heading_level", "heading_path", F.array_join("pages", ",").alias("pages"), F.array_join("element_idxs", ",").alias("element_idxs"), "n_chars", "text", "contains_table", "flush_reason"),
+       f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, id::INT AS id, section_id, number, heading, heading_level, heading_path, array_to_string(pages, ',') AS pages, array_to_string(element_idxs, ',') AS element_idxs, n_chars::INT AS n_chars, text, contains_table, flush_reason FROM chunks")
+_query("structural_stats", lambda s, d: sections.structural_stats(sections.structural_chunks(elements(s, d))),
+       f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, count_if(contains_table)::BIGINT AS n_tables, count_if(n_chars > 1200)::BIGINT AS n_large, sum(n_chars)::BIGINT AS chars, round_even(avg(n_chars), 1) AS mean_chars, min(n_chars)::INT AS min_chars, max(n_chars)::INT AS max_chars FROM chunks GROUP BY doc_id")
+_query("missed_headings", lambda s, d: sections.split_missed_headings(_docs(s, d).select("doc_id", F.lit(0).alias("id"), F.lit(False).alias("contains_table"), F.regexp_replace("text", "(?d)\n", F.concat(F.lit("\n"), F.col("doc_id").cast("string"), F.lit(".1 "))).alias("text")), 1000).select("doc_id", "id", "heading", F.length("text").alias("n_chars")))
+_query("sentences", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "s")).select("doc_id", "i", F.md5("s").alias("sentence_md5")),
+       r"""WITH x AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.?!])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n{2,}'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS s FROM documents)
+SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS i, md5(unnest(s)) AS sentence_md5 FROM x""")
+# Vectors
+_query("embed_key", lambda s, d: _docs(s, d).select("doc_id", vectors.cache_key("model", F.col("text")).alias("key")), "SELECT doc_id, sha1(encode('model' || chr(0) || text)) AS key FROM documents")
+_query("cache_misses", lambda s, d: vectors.missing(_docs(s, d).select(vectors.cache_key("model", F.col("text")).alias("key")), _docs(s, d).where("doc_id % 3 = 0").select(vectors.cache_key("model", F.col("text")).alias("key"))),
+       "SELECT DISTINCT sha1(encode('model' || chr(0) || text)) AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
+_query("hashed_embedding", lambda s, d: vectors.hashed_embedding(_docs(s, d), "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("b", "x")).where("x <> 0").select("doc_id", "b", F.round("x", 6).alias("x")),
+       r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents), c AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 32)::INT AS b, count(*)::DOUBLE AS c FROM w WHERE w <> '' GROUP BY ALL)
+SELECT doc_id, b, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS x FROM c""")
+_DIMS = "dims AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x, vec_id FROM embeddings), sums AS (SELECT label, d, sum(x) AS s FROM dims GROUP BY ALL)"
+_query("mean_pool", lambda s, d: vectors.mean_pool(_table(s, d, "embeddings"), ["label"], "embedding").select("label", F.posexplode("centroid").alias("d", "x")).select("label", "d", F.round("x", 6).alias("x")),
+       f"WITH {_DIMS} SELECT label, d::INT AS d, round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS x FROM sums")
+_query("pairwise_cosine", lambda s, d: vectors.pairwise_mean(_table(s, d, "embeddings"), ["label"], "embedding").select("label", "k", F.round("mean_cosine", 6).alias("mean_cosine")),
+       f"WITH {_DIMS}, n AS (SELECT label, count(*) AS k FROM embeddings GROUP BY label) SELECT label, k, round(CASE WHEN k > 1 THEN (sum(s * s) - k) / (k * (k - 1)) ELSE 1 END, 6) AS mean_cosine FROM sums JOIN n USING (label) GROUP BY label, k")
+_query("similarity_matrix", lambda s, d: vectors.similarity_matrix(units(s, d), "doc_id", "k", "vector").select("doc_id", "i", "j", F.round("cosine", 5).alias("cosine")),
+       f"WITH {_U} SELECT a.doc_id, a.k AS i, b.k AS j, round(least(1.0, greatest(0.0, list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]))), 5) AS cosine FROM units a JOIN units b ON a.doc_id = b.doc_id")
+# Segmentation
+_query("target_k", lambda s, d: units(s, d).groupBy("doc_id").agg(F.sum("n_chars").alias("total")).select("doc_id", "total", segment.target_k(F.col("total")).alias("k")),
+       f"WITH {_U} SELECT doc_id, sum(n_chars)::BIGINT AS total, greatest(12, least(30, round_even(sum(n_chars) / 2000.0::DOUBLE, 0)::INT)) AS k FROM units GROUP BY doc_id")
+_query("major_crossings", lambda s, d: segment.crossings(units(s, d)).select("doc_id", "k", "crossing"),
+       f"WITH {_U} SELECT doc_id, k, coalesce(major <> lag(major) OVER (PARTITION BY doc_id ORDER BY k), false)::INT AS crossing FROM units")
+_query("dp_segments", lambda s, d: segment.segments(segment.solved(units(s, d))), f"WITH RECURSIVE {_COSTS} SELECT doc_id, id, first, last FROM seg")
+_query("dp_total_cost", lambda s, d: segment.solved(units(s, d)).select("doc_id", "target_k", F.round("target_chars", 6).alias("target_chars"), F.round("cost", 6).alias("cost")),
+       f"WITH RECURSIVE {_COSTS} SELECT doc_id, target_k, round(tc, 6) AS target_chars, round(best[-1], 6) AS cost FROM fin")
+_COARSE = _COSTS + """, cd AS (
+  SELECT seg.doc_id, seg.id, u.k, u.n_chars, u.vector FROM seg JOIN u ON u.doc_id = seg.doc_id AND u.p - 1 BETWEEN seg.first AND seg.last
+), cv AS (
+  SELECT doc_id, id, sum(s * s) AS q FROM (SELECT doc_id, id, d, sum(x) AS s FROM (SELECT doc_id, id, generate_subscripts(vector, 1) AS d, unnest(vector)::DOUBLE AS x FROM cd) GROUP BY ALL) GROUP BY ALL
+), cc AS (
+  SELECT doc_id, id, string_agg(k, ',' ORDER BY k) AS unit_ids, count(*) AS n, (sum(n_chars) + 2 * (count(*) - 1))::BIGINT AS n_chars FROM cd GROUP BY ALL
+)"""
+_query("coarse_chunks", lambda s, d: (lambda u: segment.coarse_chunks(u, segment.solved(u)))(units(s, d)).withColumn("unit_ids", F.array_join("unit_ids", ",")),
+       f"WITH RECURSIVE {_COARSE} SELECT doc_id, id, unit_ids, n, n_chars, round_even(CASE WHEN n > 1 THEN (q - n) / (n * (n - 1)) ELSE 1.0 END, 4) AS mean_internal_cosine FROM cc JOIN cv USING (doc_id, id)")
+_query("coarse_stats", lambda s, d: (lambda u: segment.coarse_chunks(u, segment.solved(u)))(units(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.bround(F.avg("n_chars"), 1).alias("mean_chars"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars")),
+       f"WITH RECURSIVE {_COARSE} SELECT doc_id, count(*) AS n_chunks, round_even(avg(n_chars), 1) AS mean_chars, min(n_chars) AS min_chars, max(n_chars) AS max_chars FROM cc GROUP BY doc_id")
+_query("chunking_end_to_end", lambda s, d: chunking.coarse(elements(s, d)).select("doc_id", "id", F.array_join("unit_ids", ",").alias("unit_ids"), "n_chars"))
+# Evaluation
+_query("size_stats", lambda s, d: evaluate.size_stats(_docs(s, d), "lang", "n_chars"),
+       "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(n_chars) AS least, round(quantile_cont(n_chars, 0.1), 6) AS p10, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.9), 6) AS p90, max(n_chars) AS most FROM documents GROUP BY lang")
+_query("sentence_size_stats", lambda s, d: chunking.sentence_sizes(_docs(s, d)),
+       r"""WITH x AS (SELECT lang, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.?!])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n{2,}'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS s FROM documents), y AS (SELECT lang, length(s) AS n_chars FROM x)
+SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(n_chars)::INT AS least, round(quantile_cont(n_chars, 0.1), 6) AS p10, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.9), 6) AS p90, max(n_chars)::INT AS most FROM y GROUP BY lang""")
+_query("intra_coherence", lambda s, d: evaluate.intra_coherence(units(s, d), ["doc_id", "major"], "vector").select("doc_id", F.round("coherence", 6).alias("coherence")),
+       f"WITH {_U}, x AS (SELECT doc_id, major, k, generate_subscripts(vector, 1) AS d, unnest(vector)::DOUBLE AS x FROM units), s AS (SELECT doc_id, major, d, sum(x) AS s, count(*) AS n FROM x GROUP BY ALL), p AS (SELECT doc_id, major, (sum(s * s) - n) / (n * (n - 1)) AS m FROM s WHERE n > 1 GROUP BY doc_id, major, n) SELECT doc_id, round(avg(m), 6) AS coherence FROM p GROUP BY doc_id")
+_ADJ = _U + ", adj AS (SELECT doc_id, k, list_dot_product(vector::DOUBLE[], lead(vector) OVER (PARTITION BY doc_id ORDER BY k)::DOUBLE[]) AS c FROM units)"
+_query("inter_adjacent", lambda s, d: evaluate.inter_adjacent(units(s, d), "doc_id", "k", "vector").select("doc_id", F.round("similarity", 6).alias("similarity")), f"WITH {_ADJ} SELECT doc_id, round(avg(c), 6) AS similarity FROM adj WHERE c IS NOT NULL GROUP BY doc_id")
+_query("adjacent_peaks", lambda s, d: evaluate.peaks(units(s, d), "doc_id", "k", "vector"),
+       f"WITH {_ADJ}, x AS (SELECT doc_id, k, round(1 - c, 6) AS distance FROM adj WHERE c IS NOT NULL), q AS (SELECT doc_id, quantile_cont(distance, 0.9) AS t FROM x GROUP BY doc_id) SELECT doc_id, k, distance FROM x JOIN q USING (doc_id) WHERE distance >= t - 1e-9")
+
+
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    u = units(s, d)
+    asked = u.where("k % 5 = 0").select("doc_id", F.col("k").alias("qid"), F.col("vector").alias("qv"), F.col("major").alias("want"))
+    return evaluate.ranks(asked, u.select("doc_id", F.col("k").alias("id"), F.col("vector").alias("v"), "major"), "doc_id")
+
+
+_RANKED = _U + ", rk AS (SELECT a.doc_id, a.k AS qid, b.k AS id, a.major AS want, b.major, row_number() OVER (PARTITION BY a.doc_id, a.k ORDER BY round(list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]), 9) DESC, b.k)::INT AS rank FROM units a JOIN units b ON a.doc_id = b.doc_id WHERE a.k % 5 = 0), fr AS (SELECT doc_id, qid, min(rank) FILTER (major = want AND id <> qid) AS first_rank FROM rk GROUP BY ALL)"
+_query("retrieval_rank", lambda s, d: _ranked(s, d).select("doc_id", "qid", "id", "rank"), f"WITH {_RANKED} SELECT doc_id, qid, id, rank FROM rk")
+_query("first_relevant", lambda s, d: evaluate.first_relevant(_ranked(s, d), "doc_id", F.expr("major = want AND id <> qid")), f"WITH {_RANKED} SELECT doc_id, qid, first_rank FROM fr")
+_query("recall_at_k", lambda s, d: evaluate.recall(evaluate.first_relevant(_ranked(s, d), "doc_id", F.expr("major = want AND id <> qid")), "doc_id"),
+       f"WITH {_RANKED} SELECT doc_id, count(*) AS n_queries, round_even(avg(coalesce(first_rank <= 1, false)::INT), 3) AS recall_1, round_even(avg(coalesce(first_rank <= 3, false)::INT), 3) AS recall_3, round_even(avg(coalesce(first_rank <= 5, false)::INT), 3) AS recall_5 FROM fr GROUP BY doc_id")
+
+
+def _strategies(s: SparkSession, d: str) -> DataFrame:
+    u = units(s, d)
+    fine = u.select(F.lit("structural").alias("strategy"), F.col("n_chars").cast("long").alias("n_chars"))
+    coarse = segment.coarse_chunks(u, segment.solved(u)).select(F.lit("coarse").alias("strategy"), F.col("n_chars").cast("long").alias("n_chars"))
+    return fine.unionByName(coarse)
+
+
+_query("strategy_report", lambda s, d: evaluate.size_stats(_strategies(s, d), "strategy", "n_chars"),
+       f"WITH RECURSIVE {_COARSE}, st AS (SELECT 'structural' AS strategy, n_chars FROM units UNION ALL SELECT 'coarse', n_chars FROM cc) SELECT strategy, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(n_chars) AS least, round(quantile_cont(n_chars, 0.1), 6) AS p10, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.9), 6) AS p90, max(n_chars) AS most FROM st GROUP BY strategy")
+_query("size_histogram", lambda s, d: evaluate.histogram(_docs(s, d), "lang", "n_chars"),
+       "WITH e AS (SELECT lang, min(n_chars) AS low, (max(n_chars) - min(n_chars)) / 20.0::DOUBLE AS w FROM documents GROUP BY lang) SELECT lang, (CASE WHEN w > 0 THEN least(19, floor((n_chars - low) / w)) ELSE 0 END)::INT AS bin, count(*) AS n FROM documents JOIN e USING (lang) GROUP BY ALL")
+_query("sentence_trajectory", lambda s, d: E.from_lines(_docs(s, d)).select("doc_id", "idx", F.posexplode(T.sentences(F.col("text"))).alias("p", "s")).select("doc_id", F.col("idx").alias("chunk"), "p", (F.col("p") == 0).alias("opens"), F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "p")).alias("step")),
+       f"""WITH {_LINES}, x AS (SELECT doc_id, idx, list_filter(list_transform(string_split(regexp_replace(text, '([.?!])\\s+([A-Z0-9"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS s FROM el), y AS (SELECT doc_id, idx::INT AS chunk, (generate_subscripts(s, 1) - 1)::INT AS p FROM x)
+SELECT doc_id, chunk, p, p = 0 AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, p)::INT AS step FROM y""")
+# Views
+_query("chunk_view_page", lambda s, d: views.page(_docs(s, d).select("doc_id", "n_chars", views.preview(F.col("text")).alias("preview")), "doc_id", 10, 50),
+       "SELECT doc_id, n_chars, substr(replace(text, chr(10), ' '), 1, 160) AS preview FROM documents ORDER BY doc_id LIMIT 50 OFFSET 10")
+_query("chunk_by_id", lambda s, d: views.by_id(_docs(s, d).select("doc_id", "lang", "text"), "doc_id", 42), "SELECT doc_id, lang, text FROM documents WHERE doc_id = 42")
+_query("zip_entries", lambda s, d: views.archive_entries(_docs(s, d).select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("heading"), "text")).select("id", "name", F.md5("body").alias("body_md5")),
+       r"""WITH x AS (SELECT doc_id AS id, substr(text, 1, 80) AS heading, text FROM documents), y AS (SELECT *, substr(regexp_replace(regexp_replace(heading, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS safe FROM x)
+SELECT id, 'chunk_' || printf('%02d', id) || '_' || CASE WHEN safe = '' THEN 'chunk' ELSE safe END || '.txt' AS name, md5('# ' || heading || chr(10) || chr(10) || text) AS body_md5 FROM y""")
+_query("log_classify", lambda s, d: _table(s, d, "events").select("event_id", views.severity(F.concat_ws(" ", "event_type", F.element_at(F.array(*map(F.lit, ["step failed", "a warning", "wrote file", "idle"])), (F.col("event_id") % 4 + 1).cast("int")))).alias("severity")),
+       "SELECT event_id, CASE WHEN regexp_matches(l, 'error|traceback|failed') THEN 'err' WHEN contains(l, 'warn') THEN 'warn' WHEN regexp_matches(l, 'done|wrote| uploaded|complete') THEN 'ok' ELSE 'info' END AS severity FROM (SELECT event_id, lower(event_type || ' ' || ['step failed', 'a warning', 'wrote file', 'idle'][event_id % 4 + 1]) AS l FROM events)")
+_query("log_scrape", lambda s, d: _table(s, d, "events").select("event_id", views.scrape(F.col("props"), r'"k": (\d+)').alias("k")), """SELECT event_id, try_cast(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE) AS k FROM events""".replace("\\\\", "\\"))
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d)
+    runs = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    return views.comparison(docs.select("lang").distinct(), docs.select("source").distinct(), runs, ["lang", "source"])
+
+
+_query("comparison_matrix", _compared, "SELECT l.lang, s.source, r.n, r.mean FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL) r ON r.lang = l.lang AND r.source = s.source")
+# Logs, sessions, states
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(df: DataFrame, *times: str) -> DataFrame:
+    return df.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
+
+
+_query("user_sessions", lambda s, d: _plain(sessions.sessions(_events(s, d)), "first_ts", "last_ts"),
+       "WITH x AS (SELECT user_id, ts, event_id, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 15 MINUTES)::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM x) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM y GROUP BY user_id, g")
+_query("idle_users", lambda s, d: _plain(sessions.idle(_events(s, d)), "last_ts"), "WITH x AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id) SELECT user_id, last_ts FROM x WHERE (SELECT max(last_ts) FROM x) - last_ts >= INTERVAL 15 MINUTES")
+_query("status_merge", lambda s, d: views.merged_status(_events(s, d).withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value"))), "user_id", ["ts", "event_id"], ["event_type", "value"]),
+       "SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type, arg_max(value, {'a': ts, 'b': event_id}) FILTER (event_id % 3 <> 0) AS value FROM events GROUP BY user_id")
+_query("run_state", lambda s, d: views.transitions(_events(s, d), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "before", "event_type"),
+       "SELECT user_id, event_id, before, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
+_query("stage_status", lambda s, d: files.stage_status(files.artifacts(s, d, "*.parquet"), [("text", "documents.parquet"), ("text", "pages.parquet"), ("vectors", "embeddings.parquet"), ("figures", "none.png")]).select("stage", "status"))
+
+
+def _projected(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = _table(s, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("p")).select("vec_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+_query("pca_projection", _projected)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Elements to coarse chunks, the whole way."""
+    return _QUERIES["chunking_end_to_end"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

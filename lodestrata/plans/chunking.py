@@ -1,0 +1,30 @@
+"""The whole way from elements to coarse chunks, lazily."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrata.functions import text as T
+from lodestrata.operators import evaluate, sections, segment, vectors
+
+
+def units(chunks: DataFrame, dim: int = 32) -> DataFrame:
+    """Structural chunks as units of segmentation, with hashed embeddings."""
+    keyed = chunks.withColumn("key", F.struct("doc_id", "id"))
+    embedded = vectors.hashed_embedding(keyed, "key", "text", dim).select("key.doc_id", "key.id", "embedding")
+    zero = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda _: F.lit(0.0))
+    rows = chunks.join(embedded, ["doc_id", "id"], "left")
+    return rows.select("doc_id", F.col("id").alias("k"), F.coalesce("embedding", zero).alias("vector"), "n_chars", F.substring_index("number", ".", 1).alias("major"))
+
+
+def coarse(elements: DataFrame) -> DataFrame:
+    """Coarse chunks of documents of elements."""
+    own = units(sections.structural_chunks(elements))
+    return segment.coarse_chunks(own, segment.solved(own))
+
+
+def sentence_sizes(docs: DataFrame) -> DataFrame:
+    """Size statistics of the sentences of each document's lines, by language."""
+    lines = docs.select("lang", F.explode(T.sentences(F.col("text"))).alias("s")).select("lang", F.length("s").alias("n_chars"))
+    return evaluate.size_stats(lines, "lang", "n_chars")
