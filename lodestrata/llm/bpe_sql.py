@@ -9,7 +9,8 @@ position.
 The merge table has one pair for each token: the two parts left when the token's own bytes are merged by lower ranks.
 Tokens only ever meet in that way, and a part's rank is below its token's, so contracting all occurrences of a word's
 minimum pair at once, from the left, gives what one at a time would; long words are contracted so, in rounds whose rows
-are bounded. Words are cached by task process, and forgotten beyond `CACHE_WORDS`.
+are bounded. Words and parts of texts are
+cached by task process, and forgotten beyond `CACHE_WORDS` and `CACHE_PARTS`.
 
 Null texts count as empty: no tokens, digests of nothing. Special tokens in a text are ordinary text. Repeated rows give
 repeated results; other columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PARTS = 800_000, 300_000
 #: Words up to this many bytes are contracted a pair at a time; rows that one recursive query may make, about.
 SHORT, ROWS = 48, 4_000_000
 #: Tokens of documents that are decoded together.
@@ -73,6 +74,7 @@ SELECT w, pos, tok, last FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FR
 _DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 _PIECE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = frozenset(".,;:!?")
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -87,6 +89,25 @@ def pieces_of(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def finder(pattern: str):
+    """All matches of the pattern in a part of a text; parts that are a plain word need no regular expression."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return find
+
+    def matches(part: str) -> list[str]:
+        word = part[1:] if part[0] == " " else part
+        if word.isalpha():
+            return [part]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return find(part)
+
+    return matches
+
+
 class Vocabulary:
     """Ranks by bytes, and the merge table made from them."""
 
@@ -120,7 +141,6 @@ class Coder:
 
     def __init__(self, pieces: list[bytes], merges: np.ndarray, pattern: str):
         import duckdb
-        import regex
 
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "t": merges[:, 2]})
@@ -135,7 +155,7 @@ class Coder:
         for i, p in enumerate(pieces):
             if len(p) == 1:
                 self.byte[p[0]] = i
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -185,9 +205,9 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text, little-endian and 4 bytes each."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
+        for cache, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
+            if len(cache) > most:
+                cache.clear()
         cut = [pieces_of(t) for t in texts]
         new = {p for c in cut for p in c}.difference(self.parts)
         matches = {p: self.find(p) for p in new}

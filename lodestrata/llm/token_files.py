@@ -10,8 +10,8 @@ compressed on its own with that dictionary, and packed into shards of about `sha
 so one document is read by its offset alone (`Shard.ids`). Shards and the dictionary are written by Spark as Parquet
 tables `shards` and `dictionary` under one folder, which gives the commit of tasks and any file system Spark knows.
 
-Texts are encoded by the tokenizers library. A text is cut before single spaces between two non-spaces, which no token
-of a byte-level vocabulary with this kind of pattern crosses, and each distinct part is encoded once by a process.
+Texts are encoded by the tokenizers library: each distinct match of the vocabulary's own pattern once by a process, as no
+token crosses matches. Matches are found in parts of texts, cut before single spaces between two non-spaces.
 
 Null texts count as empty and have the end id alone. A null doc_id is stored as the smallest 64-bit integer and comes
 first. Rows with one doc_id stand side by side, in order of length and ids. Other columns are ignored. Strings of
@@ -33,14 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_sql import pieces_of
+from .bpe_sql import finder, pieces_of
 from .storage import partitions, shared_folder
 
 END = 0
 LEVEL = 3
 SHARD_BYTES = 4 << 20
 MAX_SAMPLE, MAX_SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 20_000, 64 << 10
-CACHE_PARTS = 500_000
+CACHE_WORDS, CACHE_PARTS = 800_000, 300_000
 NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIII32sQQ")
 RESULT = "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"
@@ -49,7 +49,7 @@ RESULT = "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 l
 class Encoder:
     """The tokenizers library behind a cache of parts of texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,19 +57,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.find = finder(pattern)
+        self.between = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each match: of all at once, a line each, where lines can be told apart, else one by one."""
+        if len(self.between) == 1 and not any("\n" in w or w[-1].isspace() for w in words):
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            at = np.flatnonzero(ids == self.between[0]) * self.width
+            if len(at) == len(words) - 1:
+                raw = ids.tobytes()
+                return [raw[a:b] for a, b in zip([0, *(at + self.width).tolist()], [*at.tolist(), len(raw)], strict=True)]
+        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian and 4 bytes each."""
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
+        """Ids of each text, little-endian and self.width bytes each."""
+        for cache, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
+            if len(cache) > most:
+                cache.clear()
         cut = [pieces_of(t) for t in texts]
-        new = list({p for c in cut for p in c}.difference(self.parts))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+        matches = {p: self.find(p) for p in {p for c in cut for p in c}.difference(self.parts)}
+        new = list({w for m in matches.values() for w in m}.difference(self.words))
+        new.sort(key=lambda w: w[-1].isspace())
+        for i in range(0, len(new), 5_000):
+            some = new[i : i + 5_000]
+            self.words.update(zip(some, self._ids(some), strict=True))
+        get = self.words.__getitem__
+        self.parts.update((p, b"".join(map(get, m))) for p, m in matches.items())
         get = self.parts.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -127,24 +144,23 @@ def _runs(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def _serialized(path: str, width: int):
+def _serialized(path: str):
     def run(batches):
         code = encoder(path)
         for batch in batches:
             ids = code.encode([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() for i in ids], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
 
 
-def train(docs: DataFrame, path: str, width: int, *, max_sample: int = MAX_SAMPLE, max_sample_chars: int = MAX_SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
+def train(docs: DataFrame, path: str, *, max_sample: int = MAX_SAMPLE, max_sample_chars: int = MAX_SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary for short documents; without enough text, none (no bytes)."""
-    some = docs.where(F.length("text").between(1, max_sample_chars))
-    n = some.count()
+    n = docs.select("doc_id").count()
     share = min(1.0, (2 * max_sample + 20) / n) if n else 0.0
     h = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))
-    some = some.where(h <= F.lit(int(share * (1 << 30)))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_sample)
-    samples = sorted(bytes(r[0]) for r in some.select("text").mapInArrow(_serialized(path, width), "ids binary").collect())
+    some = docs.where(h <= F.lit(int(share * (1 << 30)))).where(F.length("text").between(1, max_sample_chars)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_sample)
+    samples = sorted(bytes(r[0]) for r in some.select("text").mapInArrow(_serialized(path), "ids binary").collect())
     total = sum(map(len, samples))
     if len(samples) < 20 or total < 20_000:
         return b""
@@ -159,7 +175,7 @@ def _pack_partition(path: str, dictionary: bytes, width: int, shard_bytes: int):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        code = encoder(path)
+        code, end = encoder(path), END.to_bytes(width, "little")
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary_of(dictionary))
         doc_ids: list[int] = []
         counts: list[int] = []
@@ -178,10 +194,10 @@ def _pack_partition(path: str, dictionary: bytes, width: int, shard_bytes: int):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for first, last in _runs(texts):
                 for doc_id, got in zip(ids[first:last], code.encode(texts[first:last]), strict=True):
-                    array = np.append(np.frombuffer(got, "<u4"), np.uint32(END)).astype(f"<u{width}")
+                    got += end
                     doc_ids.append(NO_ID if doc_id is None else doc_id)
-                    counts.append(len(array))
-                    frames.append(writer.compress(array.tobytes()))
+                    counts.append(len(got) // width)
+                    frames.append(writer.compress(got))
                     held += len(frames[-1]) + 24
                     if held >= shard_bytes:
                         yield flush()
@@ -194,9 +210,9 @@ def _pack_partition(path: str, dictionary: bytes, width: int, shard_bytes: int):
 def write(docs: DataFrame, folder: str, *, path: str | None = None, shard_bytes: int = SHARD_BYTES, **sample) -> None:
     """Writes the ids of docs (doc_id, text) as shards and their dictionary under folder, in ascending doc_id order."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    width = 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else 4
+    width = encoder(path).width
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dictionary = train(rows, path, width, **sample)
+    dictionary = train(rows, path, **sample)
     spark = docs.sparkSession
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "hash string, dictionary binary").write.mode("overwrite").parquet(f"{folder}/dictionary")
     # texts are dealt before they are encoded: dealing by range reads its input twice
