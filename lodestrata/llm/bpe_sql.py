@@ -10,7 +10,7 @@ The merge table has one pair for each token: the two parts left when the token's
 Tokens only ever meet in that way, and a part's rank is below its token's, so contracting all occurrences of a word's
 minimum pair at once, from the left, gives what one at a time would; long words are contracted so, in rounds whose rows
 are bounded. Words and parts of texts are
-cached by task process, and forgotten beyond `CACHE_WORDS` and `CACHE_PARTS`.
+cached by task process in about `CACHE_WORDS` and `CACHE_PARTS` bytes; the database is closed when a task ends.
 
 Null texts count as empty: no tokens, digests of nothing. Special tokens in a text are ordinary text. Repeated rows give
 repeated results; other columns are ignored.
@@ -22,6 +22,7 @@ import base64
 import hashlib
 import re
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE_WORDS, CACHE_PARTS = 800_000, 300_000
+#: Bytes that a generation of known words and one of known parts of texts may take, about.
+CACHE_WORDS, CACHE_PARTS = 64 << 20, 32 << 20
 #: Words up to this many bytes are contracted a pair at a time; rows that one recursive query may make, about.
 SHORT, ROWS = 48, 4_000_000
 #: Tokens of documents that are decoded together.
@@ -108,6 +110,29 @@ def finder(pattern: str):
     return matches
 
 
+class Recent(dict):
+    """Known values by string, in two generations of about `most` bytes: when the younger is full the older goes, but for what is asked for."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size, self.old = most, 0, {}
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """Those of keys that must be worked out; the others can be looked up until the next call."""
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        keys = keys.difference(self)
+        back = keys.intersection(self.old)
+        self.learn((k, self.old[k]) for k in back)
+        return keys - back
+
+    def learn(self, pairs: Iterable[tuple[str, bytes]]) -> None:
+        for key, value in pairs:
+            self[key] = value
+            self.size += 200 + len(key) + len(value)
+
+
 class Vocabulary:
     """Ranks by bytes, and the merge table made from them."""
 
@@ -137,12 +162,23 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Coder:
-    """A DuckDB database with the merge table and the vocabulary, and the words encoded so far."""
+    """The words encoded so far and, while open, a DuckDB database with the merge table and the vocabulary."""
 
     def __init__(self, pieces: list[bytes], merges: np.ndarray, pattern: str):
+        self.pieces, self.merges = pieces, merges
+        self.byte = np.zeros(256, dtype=np.int32)
+        for i, p in enumerate(pieces):
+            if len(p) == 1:
+                self.byte[p[0]] = i
+        self.find = finder(pattern)
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
+        self.folder = tempfile.mkdtemp(prefix="bpe-")
+
+    def __enter__(self) -> Coder:
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
+        pieces, merges = self.pieces, self.merges
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.folder})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "t": merges[:, 2]})
         self.db.register("m", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -151,13 +187,11 @@ class Coder:
         self.db.register("v", pa.table({"id": np.arange(len(pieces), dtype=np.int32), "piece": [p.decode("latin-1") for p in pieces]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.db.unregister("v")
-        self.byte = np.zeros(256, dtype=np.int32)
-        for i, p in enumerate(pieces):
-            if len(p) == 1:
-                self.byte[p[0]] = i
-        self.find = finder(pattern)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Gives back the database's memory: the process may wait for other tasks."""
+        self.db.close()
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words])
@@ -200,20 +234,16 @@ class Coder:
                 cost += len(todo[j][0]) if long else len(todo[j][0]) ** 2
                 j += 1
             ids = (self._long if long else self._short)([b for b, _ in todo[i:j]])
-            self.words.update(zip((w for _, w in todo[i:j]), ids, strict=True))
+            self.words.learn(zip((w for _, w in todo[i:j]), ids, strict=True))
             i = j
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text, little-endian and 4 bytes each."""
-        for cache, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
-            if len(cache) > most:
-                cache.clear()
         cut = [pieces_of(t) for t in texts]
-        new = {p for c in cut for p in c}.difference(self.parts)
-        matches = {p: self.find(p) for p in new}
-        self.encode_words(list({w for m in matches.values() for w in m}.difference(self.words)))
+        matches = {p: self.find(p) for p in self.parts.unknown({p for c in cut for p in c})}
+        self.encode_words(list(self.words.unknown({w for m in matches.values() for w in m})))
         get = self.words.__getitem__
-        self.parts.update((p, b"".join(map(get, m))) for p, m in matches.items())
+        self.parts.learn((p, b"".join(map(get, m))) for p, m in matches.items())
         get = self.parts.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -250,19 +280,19 @@ def coder(key: str, pieces: list[bytes], merges: np.ndarray, pattern: str) -> Co
 def _run(key: str, shared, pattern: str):
     def run(batches):
         pieces, merges = shared.value
-        code = coder(key, pieces, merges, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < 1 << 21):
-                    size += len(texts[last])
-                    last += 1
-                ids = code.encode(texts[first:last])
-                back = code.decode(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                first = last
+        with coder(key, pieces, merges, pattern) as code:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                first = 0
+                while first < len(texts):
+                    last, size = first, 0
+                    while last < len(texts) and (last == first or size < 1 << 21):
+                        size += len(texts[last])
+                        last += 1
+                    ids = code.encode(texts[first:last])
+                    back = code.decode(ids)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    first = last
 
     return run
 

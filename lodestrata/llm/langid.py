@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .wordbatch import chunks
 
 DIM = 1 << 13
+#: Texts whose vectors are made at once.
+ROWS = 256
 MAX_TRAIN = 1600
 CLUSTERS = 4
 REJECT = 0.3
@@ -73,7 +75,7 @@ def folded(column: pa.Array) -> pa.Array:
 
 def _sample(batches):
     for batch in batches:
-        for first, last, data, offsets in chunks(folded(batch.column(1)), 1 << 19):
+        for first, last, data, offsets in chunks(folded(batch.column(1)), 1 << 19, ROWS):
             counts = gram_counts(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([np.flatnonzero(r).astype(np.uint16).tobytes() for r in counts], pa.binary()), pa.array([r[r > 0].astype(np.float32).tobytes() for r in counts], pa.binary())], names=["lang", "at", "n"])
 
@@ -135,7 +137,7 @@ def _predict(model: Model | None):
     def run(batches):
         for batch in batches:
             text = batch.column(2)
-            for first, last, data, offsets in chunks(folded(text), 1 << 20):
+            for first, last, data, offsets in chunks(folded(text), 1 << 19, ROWS):
                 known = np.array([t is not None and _LETTER.search(t) is not None for t in text.slice(first, last - first).to_pylist()], dtype=bool)
                 score, lang = np.zeros(last - first), np.full(last - first, "und", dtype=object)
                 rejected = ~known

@@ -33,14 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_sql import finder, pieces_of
+from .bpe_sql import CACHE_PARTS, CACHE_WORDS, Recent, finder, pieces_of
 from .storage import partitions, shared_folder
 
 END = 0
 LEVEL = 3
 SHARD_BYTES = 4 << 20
 MAX_SAMPLE, MAX_SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 20_000, 64 << 10
-CACHE_WORDS, CACHE_PARTS = 800_000, 300_000
 NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIII32sQQ")
 RESULT = "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"
@@ -60,8 +59,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.find = finder(pattern)
         self.between = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of each match: of all at once, a line each, where lines can be told apart, else one by one."""
@@ -75,18 +73,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian and self.width bytes each."""
-        for cache, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
-            if len(cache) > most:
-                cache.clear()
         cut = [pieces_of(t) for t in texts]
-        matches = {p: self.find(p) for p in {p for c in cut for p in c}.difference(self.parts)}
-        new = list({w for m in matches.values() for w in m}.difference(self.words))
+        matches = {p: self.find(p) for p in self.parts.unknown({p for c in cut for p in c})}
+        new = list(self.words.unknown({w for m in matches.values() for w in m}))
         new.sort(key=lambda w: w[-1].isspace())
         for i in range(0, len(new), 5_000):
             some = new[i : i + 5_000]
-            self.words.update(zip(some, self._ids(some), strict=True))
+            self.words.learn(zip(some, self._ids(some), strict=True))
         get = self.words.__getitem__
-        self.parts.update((p, b"".join(map(get, m))) for p, m in matches.items())
+        self.parts.learn((p, b"".join(map(get, m))) for p, m in matches.items())
         get = self.parts.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 

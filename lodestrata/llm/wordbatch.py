@@ -27,7 +27,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        n = 1 << max(22, int(n - 1).bit_length())
+        n = 1 << max(16, int(n - 1).bit_length())
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, b, dtype=U64)
@@ -50,8 +50,8 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
     """Prefix sums of values[i] * base**i, with a leading 0."""
     out = np.empty(len(values) + 1, dtype=U64)
     out[0] = 0
-    np.cumsum(values * powers(base, len(values) + 1)[0][: len(values)], dtype=U64, out=out[1:])
-    return out
+    np.multiply(values, powers(base, len(values) + 1)[0][: len(values)], out=out[1:])
+    return np.cumsum(out, dtype=U64, out=out)
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
@@ -72,12 +72,12 @@ def text_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data, offsets
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, bytes, offsets from 0) of runs of texts of about `limit` bytes."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 31) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, bytes, offsets from 0) of runs of texts of about `limit` bytes, `most` texts at most."""
     data, offsets = text_column(column)
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+        last = max(first + 1, min(first + most, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
@@ -107,7 +107,7 @@ class Words:
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
 
     def byte_sums(self, which: int = 0) -> np.ndarray:
-        return prefix(self.data.astype(U64) + U64(1), BASES[which][0])
+        return prefix(np.add(self.data, U64(1), dtype=U64), BASES[which][0])
 
     def hashes(self, which: int = 0, sums: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word."""
