@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .storage import cut, partitions
-from .wordbatch import BASES, U64, Words, chunks, mix, prefix, span_hash
+from .wordbatch import BASES, U64, Words, chunks, mix, prefix, span_hash, text_column
 
 K, PERCENT = 5, 80
 GROUPS, LEAF, FAN = 64, 16, 8
@@ -108,23 +108,29 @@ def _count(targets: int):
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["bucket"], []).append((row["sids"], row["sizes"], row["counts"], row["hashes"]))
+            columns = list(zip(batch.columns[1:], (np.int64, "<u4", "<u4", np.uint8), strict=True))
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                held.setdefault(b, []).append([np.frombuffer(c[i].as_buffer(), t) for c, t in columns])
+        batch = columns = None
         for b in sorted(held):
             rows = held.pop(b)
-            counts = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]).astype(np.int64)
-            sid = np.repeat(np.concatenate([np.frombuffer(r[0], np.int64) for r in rows]), counts)
-            size = np.repeat(np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]), counts)
-            wide = np.zeros((len(sid), 8), dtype=np.uint8)
-            wide[:, :7] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, 7)
+            sids, sizes, counts = (np.concatenate([r[c] for r in rows]) for c in range(3))
+            owner = np.repeat(np.arange(len(sids), dtype=np.uint32), counts)
+            wide, at = np.zeros((len(owner), 8), dtype=np.uint8), 0
+            for r in rows:
+                own = r[3].reshape(-1, 7)
+                wide[at : at + len(own), :7] = own
+                at += len(own)
             h = wide.view("<u8").ravel()
-            del rows, wide
-            order = np.argsort(h, kind="stable")
+            rows = wide = own = r = None
+            order = np.argsort(h).astype(np.uint32)
             h = h[order]
             same = np.zeros(len(h) + 1, dtype=bool)
             same[1:-1] = h[1:] == h[:-1]
-            some = same[1:] | same[:-1]
-            h, sid, size = h[some], sid[order[some]], size[order[some]]
+            some = np.flatnonzero(same[1:] | same[:-1])
+            h, owner = h[some], owner[order[some]]
+            sid, size = sids[owner], sizes[owner]
+            same = some = order = owner = None
             # a set that several runs sent counts once
             order = np.lexsort((sid, h))
             h, sid, size = h[order], sid[order], size[order]
@@ -156,21 +162,31 @@ def least_common(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def _flat(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers of all binary values of a column, one after another."""
+    data, offsets = text_column(column.cast(pa.large_binary()))
+    return data[offsets[0] : offsets[-1]].view(kind)
+
+
 def _survivors(percent: int):
     """Sets that can link: their shared shingles, sorted, and the rarest that make their prefix."""
 
     def run(told: pa.Table) -> pa.Table:
-        columns = [told[c].to_pylist() for c in ("sids", "sizes", "counts", "hashes", "sets")]
-        sids, sizes, counts, hashes, sets = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int64, "<u4", "<u4", "<u8", "<u4"), strict=True))
-        owner = np.repeat(np.arange(len(sids)), counts)
-        order = np.lexsort((hashes, sids[owner]))
-        sid, h, df, size = sids[owner][order], hashes[order], sets[order], sizes[owner][order].astype(np.int64)
-        one, first, n = np.unique(sid, return_index=True, return_counts=True)
-        need = least_common(size[first], percent)
+        kinds = {"sids": np.int64, "sizes": "<u4", "counts": "<u4", "hashes": "<u8", "sets": "<u4"}
+        sids, sizes, counts, hashes, sets = (_flat(told[c], t) for c, t in kinds.items())
+        one, rank = np.unique(sids, return_inverse=True)
+        owner = np.repeat(rank.astype(np.uint32), counts)
+        order = np.lexsort((hashes, owner))
+        h, df = hashes[order], sets[order]
+        n = np.bincount(owner, minlength=len(one))
+        first = np.cumsum(n) - n
+        size = np.zeros(len(one), dtype=np.int64)
+        size[rank] = sizes
+        need = least_common(size, percent)
         out = []
         for i in np.flatnonzero(n >= need):
             a, z = first[i], first[i] + n[i]
-            keys, total = h[a:z], int(size[a])
+            keys, total = h[a:z], int(size[i])
             alone = total - len(keys)
             take = total - int(need[i]) + 1 - alone
             rare = np.lexsort((keys, df[a:z]))[:take]
