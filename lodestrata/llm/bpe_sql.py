@@ -30,13 +30,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordbatch import chunks
+
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes that a generation of known words and one of known parts of texts may take, about.
-CACHE_WORDS, CACHE_PARTS = 64 << 20, 32 << 20
+CACHE_WORDS, CACHE_PARTS = 48 << 20, 24 << 20
 #: Words up to this many bytes are contracted a pair at a time; rows that one recursive query may make, about.
 SHORT, ROWS = 48, 4_000_000
 #: Tokens of documents that are decoded together.
-DECODE_TOKENS = 500_000
+DECODE_TOKENS = 100_000
 
 _STEP = """
 WITH RECURSIVE step(i, w, pos, tok) AS (
@@ -124,13 +126,13 @@ class Recent(dict):
             self.clear()
         keys = keys.difference(self)
         back = keys.intersection(self.old)
-        self.learn((k, self.old[k]) for k in back)
+        self.learn(back, [self.old[k] for k in back])
         return keys - back
 
-    def learn(self, pairs: Iterable[tuple[str, bytes]]) -> None:
-        for key, value in pairs:
-            self[key] = value
-            self.size += 200 + len(key) + len(value)
+    def learn(self, keys: Iterable[str], values: list[bytes]) -> None:
+        self.update(zip(keys, values, strict=True))
+        # a key is about as long as its value
+        self.size += 200 * len(values) + 2 * sum(map(len, values))
 
 
 class Vocabulary:
@@ -234,7 +236,7 @@ class Coder:
                 cost += len(todo[j][0]) if long else len(todo[j][0]) ** 2
                 j += 1
             ids = (self._long if long else self._short)([b for b, _ in todo[i:j]])
-            self.words.learn(zip((w for _, w in todo[i:j]), ids, strict=True))
+            self.words.learn((w for _, w in todo[i:j]), ids)
             i = j
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -243,7 +245,7 @@ class Coder:
         matches = {p: self.find(p) for p in self.parts.unknown({p for c in cut for p in c})}
         self.encode_words(list(self.words.unknown({w for m in matches.values() for w in m})))
         get = self.words.__getitem__
-        self.parts.learn((p, b"".join(map(get, m))) for p, m in matches.items())
+        self.parts.learn(matches, [b"".join(map(get, m)) for m in matches.values()])
         get = self.parts.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -282,17 +284,10 @@ def _run(key: str, shared, pattern: str):
         pieces, merges = shared.value
         with coder(key, pieces, merges, pattern) as code:
             for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                first = 0
-                while first < len(texts):
-                    last, size = first, 0
-                    while last < len(texts) and (last == first or size < 1 << 21):
-                        size += len(texts[last])
-                        last += 1
-                    ids = code.encode(texts[first:last])
+                for first, last, _, _ in chunks(batch.column(1), 1 << 20):
+                    ids = code.encode([t or "" for t in batch.column(1).slice(first, last - first).to_pylist()])
                     back = code.decode(ids)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                    first = last
 
     return run
 

@@ -79,9 +79,9 @@ class Encoder:
         new.sort(key=lambda w: w[-1].isspace())
         for i in range(0, len(new), 5_000):
             some = new[i : i + 5_000]
-            self.words.learn(zip(some, self._ids(some), strict=True))
+            self.words.learn(some, self._ids(some))
         get = self.words.__getitem__
-        self.parts.learn((p, b"".join(map(get, m))) for p, m in matches.items())
+        self.parts.learn(matches, [b"".join(map(get, m)) for m in matches.values()])
         get = self.parts.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 

@@ -80,6 +80,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 31) -> I
         last = max(first + 1, min(first + most, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    _powers.clear()  # made again for the next batch in a moment; a process that waits for work holds none
 
 
 class Words:
