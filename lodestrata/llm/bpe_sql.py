@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import tempfile
 from collections.abc import Iterable
 
@@ -77,20 +76,40 @@ SELECT w, pos, tok, last FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FR
 """
 _DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
-_PIECE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = frozenset(".,;:!?")
-_TWO_SPACES = re.compile(r"\s\s")
-
-
-def pieces_of(text: str) -> list[str]:
-    """Parts of the text that no match of the pattern crosses: cut before each space between two non-spaces."""
-    if not text:
-        return []
-    if _TWO_SPACES.search(text) or text[0].isspace() or text[-1].isspace():
-        parts = _PIECE_SPLIT.split(text)
-    else:
-        parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+#: First bytes of the characters beyond ASCII that may be white space.
+_WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def part_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where parts of texts begin, and the end: no match of the pattern crosses a text's edge or a space between two bytes that can't be white space."""
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    at = np.flatnonzero(data[1:-1] == 0x20) + 1
+    at = at[~edge[at + 1]]
+    before, after = data[at - 1], data[at + 1]
+    keep = (before > 0x20) & (after > 0x20) & ~_WIDE[after]
+    wide = before >= 0x80
+    keep[wide] &= ~(_WIDE[data[at[wide] - 2]] | _WIDE[data[at[wide] - 3]])
+    edge[at[keep]] = True
+    return np.flatnonzero(edge)
+
+
+def encode_texts(data: np.ndarray, offsets: np.ndarray, width: int, ids_of) -> list[bytes]:
+    """Token ids of each text [offsets[i], offsets[i + 1]) of UTF-8 data, little-endian, width bytes each; ids_of gives those of distinct parts."""
+    if not len(data):
+        return [b""] * (len(offsets) - 1)
+    bounds = part_bounds(data, offsets)
+    parts = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    values = ids_of(parts.dictionary.cast(pa.large_string()).to_pylist())
+    flat = np.frombuffer(b"".join(values), dtype=f"<u{width}")
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+    which = parts.indices.to_numpy()
+    counts = sizes[which]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    raw = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+    at = (ends[np.searchsorted(bounds, offsets)] * width).tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def finder(pattern: str):
@@ -239,15 +258,16 @@ class Coder:
             self.words.learn((w for _, w in todo[i:j]), ids)
             i = j
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text, little-endian and 4 bytes each."""
-        cut = [pieces_of(t) for t in texts]
-        matches = {p: self.find(p) for p in self.parts.unknown({p for c in cut for p in c})}
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        matches = {p: self.find(p) for p in self.parts.unknown(set(parts))}
         self.encode_words(list(self.words.unknown({w for m in matches.values() for w in m})))
         get = self.words.__getitem__
         self.parts.learn(matches, [b"".join(map(get, m)) for m in matches.values()])
-        get = self.parts.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return list(map(self.parts.__getitem__, parts))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Token ids of each text, little-endian and 4 bytes each."""
+        return encode_texts(data, offsets, 4, self._parts)
 
     def decode(self, documents: list[bytes]) -> list[bytes]:
         """The bytes of each document from its ids."""
@@ -284,8 +304,8 @@ def _run(key: str, shared, pattern: str):
         pieces, merges = shared.value
         with coder(key, pieces, merges, pattern) as code:
             for batch in batches:
-                for first, last, _, _ in chunks(batch.column(1), 1 << 20):
-                    ids = code.encode([t or "" for t in batch.column(1).slice(first, last - first).to_pylist()])
+                for first, last, data, offsets in chunks(batch.column(1), 1 << 20):
+                    ids = code.encode(data, offsets)
                     back = code.decode(ids)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -10,8 +10,8 @@ compressed on its own with that dictionary, and packed into shards of about `sha
 so one document is read by its offset alone (`Shard.ids`). Shards and the dictionary are written by Spark as Parquet
 tables `shards` and `dictionary` under one folder, which gives the commit of tasks and any file system Spark knows.
 
-Texts are encoded by the tokenizers library: each distinct match of the vocabulary's own pattern once by a process, as no
-token crosses matches. Matches are found in parts of texts, cut before single spaces between two non-spaces.
+Texts are encoded by the tokenizers library's model: each distinct match of the vocabulary's own pattern once by a process,
+as no token crosses matches. Matches are found in the distinct parts of texts, cut before single spaces.
 
 Null texts count as empty and have the end id alone. A null doc_id is stored as the smallest 64-bit integer and comes
 first. Rows with one doc_id stand side by side, in order of length and ids. Other columns are ignored. Strings of
@@ -24,7 +24,7 @@ import hashlib
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -33,8 +33,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_sql import CACHE_PARTS, CACHE_WORDS, Recent, finder, pieces_of
+from .bpe_sql import CACHE_PARTS, CACHE_WORDS, Recent, encode_texts, finder
 from .storage import partitions, shared_folder
+from .wordbatch import chunks
 
 END = 0
 LEVEL = 3
@@ -45,6 +46,11 @@ _HEAD = struct.Struct("<4sIII32sQQ")
 RESULT = "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 
+#: A character for each byte, as in byte-level vocabularies: printable ones of Latin-1 stand for themselves, the others take those from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+
+
 class Encoder:
     """The tokenizers library behind a cache of parts of texts."""
 
@@ -53,37 +59,34 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
+            raise ValueError("a byte-level vocabulary is needed")
+        self.merge = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.find = finder(pattern)
-        self.between = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of each match: of all at once, a line each, where lines can be told apart, else one by one."""
-        if len(self.between) == 1 and not any("\n" in w or w[-1].isspace() for w in words):
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-            at = np.flatnonzero(ids == self.between[0]) * self.width
-            if len(at) == len(words) - 1:
-                raw = ids.tobytes()
-                return [raw[a:b] for a, b in zip([0, *(at + self.width).tolist()], [*at.tolist(), len(raw)], strict=True)]
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian and self.width bytes each."""
-        cut = [pieces_of(t) for t in texts]
-        matches = {p: self.find(p) for p in self.parts.unknown({p for c in cut for p in c})}
+        """Ids of each match: the library's model merges its letters."""
+        found = [[t.id for t in self.merge(w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
+        raw = np.array(list(chain.from_iterable(found)), f"<u{self.width}").tobytes()
+        at = [0, *accumulate(len(f) * self.width for f in found)]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        matches = {p: self.find(p) for p in self.parts.unknown(set(parts))}
         new = list(self.words.unknown({w for m in matches.values() for w in m}))
-        new.sort(key=lambda w: w[-1].isspace())
-        for i in range(0, len(new), 5_000):
-            some = new[i : i + 5_000]
-            self.words.learn(some, self._ids(some))
+        self.words.learn(new, self._ids(new))
         get = self.words.__getitem__
         self.parts.learn(matches, [b"".join(map(get, m)) for m in matches.values()])
-        get = self.parts.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return list(map(self.parts.__getitem__, parts))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of each text, little-endian and self.width bytes each."""
+        return encode_texts(data, offsets, self.width, self._parts)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -128,22 +131,11 @@ def pack(doc_ids: list[int], counts: list[int], frames: list[bytes], width: int,
     return b"".join([head, np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u8").tobytes(), offsets.tobytes(), *frames])
 
 
-def _runs(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (last == first or size < limit):
-            size += len(texts[last])
-            last += 1
-        yield first, last
-        first = last
-
-
 def _serialized(path: str):
     def run(batches):
         code = encoder(path)
         for batch in batches:
-            ids = code.encode([t or "" for t in batch.column(0).to_pylist()])
+            ids = [i for _, _, data, offsets in chunks(batch.column(0)) for i in code.encode(data, offsets)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
@@ -186,9 +178,9 @@ def _pack_partition(path: str, dictionary: bytes, width: int, shard_bytes: int):
             return out
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in _runs(texts):
-                for doc_id, got in zip(ids[first:last], code.encode(texts[first:last]), strict=True):
+            ids = batch.column(0).to_pylist()
+            for first, last, data, offsets in chunks(batch.column(1)):
+                for doc_id, got in zip(ids[first:last], code.encode(data, offsets), strict=True):
                     got += end
                     doc_ids.append(NO_ID if doc_id is None else doc_id)
                     counts.append(len(got) // width)
