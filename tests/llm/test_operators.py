@@ -9,12 +9,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from lodestrata.llm import bpe_sql, exact_dedup, html_extract, langid, mixing, ngram_join, pii, quality, substring_dedup, token_files
 from lodestrata.llm.components import components
+from lodestrata.llm.wordbatch import text_column
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 # columns whose names the operators use themselves
@@ -143,6 +145,17 @@ def test_token_files(docs, empty):
     assert token_files.write_and_read(empty).count() == 0
 
 
+def test_parts_of_texts():
+    """Cuts at spaces, whatever white space or text edge stands beside them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    odd = ["", " ", "a ", " a", "  a  b ", "a\n\n b\n", "é é  à \u00a0 x\u00a0 y \u3000z\u3000 q 日本 語 « a » b", "\x1c a \x1f b \x85 c \u2028 d\u2009 e \u1680 f", "<|endoftext|> a<|endoftext|>", "x" * 5000, " " * 300, " \n" * 200, "a' s it's 'll 1 22  !! ??\t\tq"]
+    data, offsets = text_column(pa.array([*odd, None, *odd[::-1]]))
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in [*odd, "", *odd[::-1]]]
+    assert token_files.Encoder(path).encode(data, offsets) == want
+
+
 def test_mixing(docs, empty):
     found = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r["size"]) for r in found) == Counter((i, len(words(t))) for i, t, *_ in ROWS)
