@@ -255,9 +255,9 @@ _query("adjacent_peaks", lambda s, d: evaluate.peaks(units(s, d), "doc_id", "k",
        f"WITH {_ADJ}, x AS (SELECT doc_id, k, round(1 - c, 6) AS distance FROM adj WHERE c IS NOT NULL), q AS (SELECT doc_id, quantile_cont(distance, 0.9) AS t FROM x GROUP BY doc_id) SELECT doc_id, k, distance FROM x JOIN q USING (doc_id) WHERE distance >= t - 1e-9")
 
 
-def _ranked(s: SparkSession, d: str) -> DataFrame:
+def _ranked(s: SparkSession, d: str, which: str = "k % 5 = 0") -> DataFrame:
     u = units(s, d)
-    asked = u.where("k % 5 = 0").select("doc_id", F.col("k").alias("qid"), F.col("vector").alias("qv"), F.col("major").alias("want"))
+    asked = u.where(which).select("doc_id", F.col("k").alias("qid"), F.col("vector").alias("qv"), F.col("major").alias("want"))
     return evaluate.ranks(asked, u.select("doc_id", F.col("k").alias("id"), F.col("vector").alias("v"), "major"), "doc_id")
 
 
@@ -266,6 +266,12 @@ _query("retrieval_rank", lambda s, d: _ranked(s, d).select("doc_id", "qid", "id"
 _query("first_relevant", lambda s, d: evaluate.first_relevant(_ranked(s, d), "doc_id", F.expr("major = want AND id <> qid")), f"WITH {_RANKED} SELECT doc_id, qid, first_rank FROM fr")
 _query("recall_at_k", lambda s, d: evaluate.recall(evaluate.first_relevant(_ranked(s, d), "doc_id", F.expr("major = want AND id <> qid")), "doc_id"),
        f"WITH {_RANKED} SELECT doc_id, count(*) AS n_queries, round_even(avg(coalesce(first_rank <= 1, false)::INT), 3) AS recall_1, round_even(avg(coalesce(first_rank <= 3, false)::INT), 3) AS recall_3, round_even(avg(coalesce(first_rank <= 5, false)::INT), 3) AS recall_5 FROM fr GROUP BY doc_id")
+# every unit asks; the three above ask a fifth, as their SQL says
+_RANKED_ALL = _U + ", rk AS (SELECT a.doc_id, a.k AS qid, b.k AS id, a.major AS want, b.major, row_number() OVER (PARTITION BY a.doc_id, a.k ORDER BY round(list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]), 9) DESC, b.k)::INT AS rank FROM units a JOIN units b ON a.doc_id = b.doc_id), fr AS (SELECT doc_id, qid, min(rank) FILTER (major = want AND id <> qid) AS first_rank FROM rk GROUP BY ALL)"
+_query("retrieval_rank_all", lambda s, d: _ranked(s, d, "true").select("doc_id", "qid", "id", "rank"), f"WITH {_RANKED_ALL} SELECT doc_id, qid, id, rank FROM rk")
+_query("first_relevant_all", lambda s, d: evaluate.first_relevant(_ranked(s, d, "true"), "doc_id", F.expr("major = want AND id <> qid")), f"WITH {_RANKED_ALL} SELECT doc_id, qid, first_rank FROM fr")
+_query("recall_at_k_all", lambda s, d: evaluate.recall(evaluate.first_relevant(_ranked(s, d, "true"), "doc_id", F.expr("major = want AND id <> qid")), "doc_id"),
+       f"WITH {_RANKED_ALL} SELECT doc_id, count(*) AS n_queries, round_even(avg(coalesce(first_rank <= 1, false)::INT), 3) AS recall_1, round_even(avg(coalesce(first_rank <= 3, false)::INT), 3) AS recall_3, round_even(avg(coalesce(first_rank <= 5, false)::INT), 3) AS recall_5 FROM fr GROUP BY doc_id")
 
 
 def _strategies(s: SparkSession, d: str) -> DataFrame:
