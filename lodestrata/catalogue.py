@@ -163,10 +163,13 @@ _HTML = r"""raw AS (
   SELECT doc_id, idx, CASE lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)>', 1)) WHEN 'h1' THEN 'SectionHeaderItem' WHEN 'li' THEN 'ListItem' ELSE 'TextItem' END AS type,
     regexp_replace(regexp_replace(raw, '^<[a-zA-Z0-9]+>', ''), '^\s+|\s+$', '', 'g') AS text FROM el
 )"""
-_query("html_elements", lambda s, d: E.from_html(_table(s, d, "pages")).select("doc_id", "idx", "type", F.md5("text").alias("text_md5")),
+_query("html_elements", lambda s, d: E.html_openings(_table(s, d, "pages")).select("doc_id", "idx", "type", F.md5("text").alias("text_md5")),
        f"WITH {_HTML} SELECT doc_id, idx::INT AS idx, type, md5(text) AS text_md5 FROM he WHERE text <> ''")
-_query("element_type_counts", lambda s, d: E.type_counts(E.from_html(_table(s, d, "pages"))),
+_query("element_type_counts", lambda s, d: E.type_counts(E.html_openings(_table(s, d, "pages"))),
        f"WITH {_HTML} SELECT type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM he WHERE text <> '' GROUP BY type")
+# the whole text of each element; the two above stop at its first inner tag, as their SQL says
+_query("html_elements_whole", lambda s, d: E.from_html(_table(s, d, "pages")).select("doc_id", "idx", "type", F.md5("text").alias("text_md5")))
+_query("element_type_counts_whole", lambda s, d: E.type_counts(E.from_html(_table(s, d, "pages"))))
 _query("list_marker", lambda s, d: E.from_lines(_docs(s, d)).withColumn("text", F.concat(F.element_at(F.array(*map(F.lit, ["", "- ", "1. ", "(a) ", "iv. ", "x "])), (F.col("idx") % 6 + 1).cast("int")), "text")).groupBy("doc_id").agg(F.count_if(T.is_list_item(F.col("text"))).alias("n_items")),
        f"WITH {_LINES} SELECT doc_id, count_if(regexp_matches(['', '- ', '1. ', '(a) ', 'iv. ', 'x '][idx % 6 + 1] || text, '^\\s*([•·\\-*◦▪▫‣⁃]|\\d+[.)]|\\([a-zA-Z0-9]+\\)|[ivxIVX]+\\.)\\s+[A-Za-z0-9]'))::BIGINT AS n_items FROM el GROUP BY doc_id")
 _query("toc_filter", lambda s, d: elements(s, d).where("type = 'TableItem'").groupBy("doc_id").agg(F.count_if(T.is_contents_table(F.col("text"))).alias("n_contents"), F.count(F.lit(1)).alias("n_tables")),

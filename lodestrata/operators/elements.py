@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections import Counter
+from collections.abc import Collection
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestrata.functions import text as T
 
@@ -16,8 +23,90 @@ def from_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "idx", T.strip(F.col("line")).alias("text")).where("text <> ''")
 
 
+_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>|<[!?/][^<>]*+>""", re.S)
+_KINDS = {"li": ITEM, "p": TEXT} | {f"h{i}": HEADER for i in range(1, 7)}
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html main menu nav ol pre section summary table tbody td tfoot th thead tr ul".split()) | {*_KINDS}
+_HEADS = frozenset(f"h{i}" for i in range(1, 7))
+_CELLS = frozenset("table thead tbody tfoot tr td th".split())
+#: An opening tag ends the open elements on the right, looked for up to the nearest of the stops.
+_ENDS = {"li": ({"li"}, _BLOCKS - {"li", "address", "div", "p"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"})}
+_ENDS |= {tag: ({"dd", "dt"}, _BLOCKS - {"dd", "dt", "address", "div", "p"}) for tag in ("dd", "dt")}
+
+
+def html_texts(page: str | None) -> list[tuple[str, str]]:
+    """Type and text of every heading, list item and paragraph of a page, in order of their opening tags.
+
+    Text belongs to the innermost of them that holds it, whatever tags stand between; an unclosed one ends where HTML
+    ends it. References are decoded and white space becomes one space; scripts, styles and comments are no text.
+    """
+    found: list[tuple[str, list[str]]] = []
+    stack: list[tuple[str, int]] = []  # open blocks, each with the place of the element its text belongs to
+    page = page or ""
+    at = 0
+
+    n_open: Counter[str] = Counter()
+
+    def say(text: str) -> None:
+        if stack and stack[-1][1] >= 0:
+            found[stack[-1][1]][1].append(text)
+
+    def close(tags: Collection[str], stops: Collection[str]) -> None:
+        """Ends the nearest open block of tags and all within it, unless one of stops is nearer."""
+        if not any(map(n_open.__getitem__, tags)):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                n_open.subtract(t for t, _ in stack[i:])
+                del stack[i:]
+            if i == len(stack) or stack[i][0] in stops:
+                return
+
+    while True:
+        m = _TOKEN.search(page, at)
+        say(entities.unescape(page[at : m.start() if m else len(page)]))
+        if not m:
+            break
+        at, tag = m.end(), (m[2] or "").lower()
+        if not m[1] and tag in ("script", "style", "textarea", "title"):
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            if tag in ("textarea", "title"):
+                say(entities.unescape(page[at : stop.start() if stop else len(page)]))
+            at = stop.end() if stop else len(page)
+        elif tag in ("br", "hr") or tag in _BLOCKS:
+            say(" ")
+            like = _HEADS if tag in _HEADS else {tag}
+            if m[1]:
+                if tag not in ("body", "html"):
+                    close(like, {"table"} if tag in _CELLS else {"td", "th", "ul", "ol", "menu"} if tag == "li" else {"td", "th"})
+            elif tag != "br":
+                if stack and (stack[-1][0] == "p" or tag in _HEADS and stack[-1][0] in _HEADS):
+                    close({stack[-1][0]}, ())
+                if tag in _ENDS:
+                    close(*_ENDS[tag])
+                place = stack[-1][1] if stack else -1
+                if tag in _KINDS:
+                    place = len(found)
+                    found.append((_KINDS[tag], []))
+                if tag != "hr":
+                    stack.append((tag, place))
+                    n_open[tag] += 1
+            say(" ")
+    return [(kind, " ".join("".join(parts).split())) for kind, parts in found]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("text", StringType())])))
+def _html_texts(pages: pd.Series) -> pd.Series:
+    return pd.Series([[{"type": k, "text": t} for k, t in html_texts(p)] for p in pages], dtype=object)
+
+
 def from_html(pages: DataFrame) -> DataFrame:
-    """Headings, list items and paragraphs of each page, in order."""
+    """Headings, list items and paragraphs of each page, in order, with their whole text; empty ones are left out."""
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(_html_texts(F.col("html"))).alias("idx", "e"))
+    return rows.select("doc_id", "idx", "e.type", "e.text").where("text <> ''")
+
+
+def html_openings(pages: DataFrame) -> DataFrame:
+    """What stands between a plain h1, li or p tag and the next tag of any kind, as the SQL of html_elements has it."""
     clean = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
     found = F.regexp_extract_all(clean, F.lit(r"(?is)(<(?:h1|li|p)>[^<]*)"), F.lit(1))
     rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("idx", "raw"))
