@@ -2,7 +2,9 @@
 
 A tolerant tag scanner builds an element tree (unclosed p, li, td and the like end where HTML ends them). Elements that
 are never article text (scripts, forms, nav, footer, ...) and elements whose class, id or role names a menu, advert,
-notice, sidebar or comment section fall away first. Each paragraph then passes points for its length and its commas
+notice, sidebar or comment section fall away first. A class or id doesn't count against an element that holds an article
+or main element of some size, nor against elements of one name that hold most of the page's unlinked text, unless an
+article stands beside them; if nothing is left, no class or id counts. Each paragraph then passes points for its length and its commas
 to its ancestors, halved after the parent and falling with the distance; each ancestor's points are discounted by its link density. The container
 with most points stays together with those siblings that score near it or read like running text; their blocks, in
 page order, are the result.
@@ -34,6 +36,10 @@ _ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot",
 _ITEM = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 _SCOPE = frozenset("td th table article section main div body aside footer nav header li blockquote".split())
 _UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|aside|footer|masthead|site-header|page-header|topbar|toolbar|cookies?|consent|gdpr|notice|popup|pop-up|modal|overlay|subscribe|newsletter|signup|login|social|share|sharing|shares|related|recommend\w*|comments?|comment-list|disqus|replies|respond|pagination|pager|skip-link|legal|copyright|widget|outbrain|taboola|alert)(?=$|[\s_-])", re.I)
+#: Says what an element has, not what it is.
+_STATE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[-_]\S*", re.I)
+#: Unlinked characters of an article beside which an element that holds most of a page may be dropped for its name.
+LEAST_ARTICLE = 250
 _LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-content|entry-content|post-body|story|main|content|hentry|blog-post)(?=$|[\s_-])", re.I)
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _TEXTUAL = frozenset("p pre td blockquote li dd".split())
@@ -55,7 +61,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def unwanted(node: Node) -> bool:
-    """Whether the element's name, role, class or id tells that it is no part of an article."""
+    """Whether the element's tag or role, or being hidden, tells that it is no part of an article."""
     if node.tag in DROP:
         return True
     if not node.attrs:
@@ -63,12 +69,17 @@ def unwanted(node: Node) -> bool:
     at = _attributes(node.attrs)
     if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I):
         return True
-    if at.get("role", "").lower() in _ROLE:
-        return True
-    if node.tag in ("html", "body", "article", "main") or at.get("itemprop") == "articleBody":
-        return False
-    names = f"{at.get('class', '')} {at.get('id', '')}"
-    return bool(_UNLIKELY.search(names)) and not _LIKELY.search(names)
+    return at.get("role", "").lower() in _ROLE
+
+
+def _names(node: Node) -> tuple[str, bool]:
+    """The unlikely word in an element's class and id, or an empty text, and whether a likely one stands there."""
+    if not node.attrs:
+        return "", False
+    at = _attributes(node.attrs)
+    names = _STATE.sub("", f"{at.get('class', '')} {at.get('id', '')}")
+    m = _UNLIKELY.search(names)
+    return m[0].strip(" \t\r\n\f_-").lower() if m else "", bool(_LIKELY.search(names)) or at.get("itemprop") == "articleBody"
 
 
 def parse(page: str) -> Node:
@@ -125,7 +136,7 @@ def parse(page: str) -> Node:
     return root
 
 
-def _prune(root: Node) -> None:
+def _prune(root: Node, by_name: bool = True) -> None:
     """Drops unwanted elements and counts the characters and the linked characters of the others."""
     stack, order = [root], []
     while stack:
@@ -135,7 +146,16 @@ def _prune(root: Node) -> None:
         # the header of a page goes, that of an article has its title
         node.kids = [k for k in node.kids if isinstance(k, str) or k.tag != "header" or _inside(k, ("article", "main"))]
         stack += [k for k in node.kids if not isinstance(k, str)]
+    _count(order)
+    if by_name and (out := _misnamed(root, order)):
+        for node in order:
+            node.kids = [k for k in node.kids if isinstance(k, str) or id(k) not in out]
+        _count(order)
+
+
+def _count(order: list[Node]) -> None:
     for node in reversed(order):
+        node.chars = node.links = 0
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += len(k.strip())
@@ -146,6 +166,45 @@ def _prune(root: Node) -> None:
             node.links = node.chars
 
 
+def _misnamed(root: Node, order: list[Node]) -> set[int]:
+    """Ids of the elements to drop for their class or id. order has parents before children."""
+    named = {id(n): _names(n) for n in order}
+    plain = lambda n: n.chars - n.links
+    # articles that aren't themselves called a comment or the like
+    cores = [n for n in order if n.tag in ("article", "main") and not (named[id(n)][0] and not named[id(n)][1])]
+    least = 0.2 * max(map(plain, cores), default=0)
+    holders: set[int] = set()
+    for n in cores:
+        up = n.parent if plain(n) >= least else None
+        while up is not None and id(up) not in holders:
+            holders.add(id(up))
+            up = up.parent
+    by_word: dict[str, list[Node]] = {}
+    beside: list[Node] = []
+    stack = [root]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, str):
+                continue
+            word, likely = named[id(k)]
+            if word and not likely and k.tag not in ("html", "body", "article", "main") and id(k) not in holders:
+                by_word.setdefault(word, []).append(k)
+                continue
+            if not word and (likely or k.tag in ("article", "main")):
+                beside.append(k)
+            stack.append(k)
+    out = {id(n) for nodes in by_word.values() for n in nodes}
+    left: dict[int, int] = {}
+    for n in reversed(order):
+        left[id(n)] = 0 if id(n) in out else plain(n) - sum(plain(k) - left[id(k)] for k in n.kids if not isinstance(k, str))
+    for nodes in by_word.values():
+        text = sum(map(plain, nodes))
+        # text that most of the page consists of may go only beside an article of some size
+        if 2 * text > plain(root) and not any(left[id(n)] >= max(LEAST_ARTICLE, 0.2 * text) for n in beside):
+            out -= {id(n) for n in nodes}
+    return out
+
+
 def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     while node.parent is not None:
         node = node.parent
@@ -254,9 +313,13 @@ def blocks(nodes: list[Node]) -> list[str]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    _prune(root)
-    return "\n\n".join(blocks(best_container(root)))
+    for by_name in (True, False):
+        root = parse(page)
+        _prune(root, by_name)
+        text = "\n\n".join(blocks(best_container(root)))
+        if text:
+            return text
+    return ""
 
 
 def _run(batches):
