@@ -266,16 +266,16 @@ def best_container(root: Node) -> list[Node]:
     best = max(met, key=lambda n: final[id(n)])
     while best.parent is not None and best.parent.tag in ("p", "li", "td", "tr", "tbody", "ul", "ol", "table", "blockquote", "pre") and best.parent.tag != "#root":
         best = best.parent
-    if best.parent is None or best.tag in ("article", "main", "body", "html"):
-        # several articles or parts of one page stay together
-        peers = [k for k in best.parent.kids if not isinstance(k, str)] if best.parent is not None and best.tag in ("article", "main") else [best]
-        return [k for k in peers if k is best or k.tag == best.tag and final.get(id(k), 0) >= 0.2 * final[id(best)]]
+    if best.parent is None or best.tag in ("body", "html"):
+        return [best]
     least, kept = max(10.0, 0.2 * final[id(best)]), []
     for k in best.parent.kids:
         if isinstance(k, str):
             continue
         text = _own_text(k) if k.tag in ("p", "pre", "blockquote") else ""
-        if k is best or final.get(id(k), 0) >= least or k.tag in ("h1", "h2", "h3") and k.chars or text and density(k) < 0.25 and (len(text) > 80 or re.search(r"[.!?](?:\s|$)", text)):
+        # several articles or parts of one page stay together
+        peer = k.tag == best.tag and k.tag in ("article", "main") and final.get(id(k), 0) >= 0.2 * final[id(best)]
+        if k is best or peer or final.get(id(k), 0) >= least or k.tag in ("h1", "h2", "h3") and k.chars or text and density(k) < 0.25 and (len(text) > 80 or re.search(r"[.!?](?:\s|$)", text)):
             kept.append(k)
     return kept
 
