@@ -15,7 +15,7 @@ as no token crosses matches. Matches are found in the distinct parts of texts, c
 
 Null texts count as empty and have the end id alone. A null doc_id is stored as the smallest 64-bit integer and comes
 first. Rows with one doc_id stand side by side, in order of length and ids. Other columns are ignored. Strings of
-special tokens in a text are ordinary text.
+the vocabulary's added tokens in a text become those tokens, as in the library's plain encode: such texts go through it.
 """
 
 from __future__ import annotations
@@ -65,6 +65,7 @@ class Encoder:
         if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
             raise ValueError("a byte-level vocabulary is needed")
         self.merge = self.tokenizer.model.tokenize
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.find = finder(pattern)
         self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
@@ -85,9 +86,30 @@ class Encoder:
         return list(map(self.parts.__getitem__, parts))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Ids of each text, little-endian and self.width bytes each."""
+        """Ids of each text, little-endian and self.width bytes each; strings of added tokens are ordinary text."""
         return encode_texts(data, offsets, self.width, self._parts)
 
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """As encode(), but strings of added tokens are those tokens."""
+        out, raw = self.encode(data, offsets), data.tobytes()
+        for d in self._with_added(raw, offsets):
+            text = raw[offsets[d] : offsets[d + 1]].decode()
+            out[d] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return out
+
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> set[int]:
+        """Texts that contain an added token."""
+        found: set[int] = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, side="right")) - 1
+                inside = at + len(token) <= offsets[d + 1]
+                if inside:
+                    found.add(d)
+                at = raw.find(token, int(offsets[d + 1]) if inside else at + 1)
+        return found
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -135,7 +157,7 @@ def _serialized(path: str):
     def run(batches):
         code = encoder(path)
         for batch in batches:
-            ids = [i for _, _, data, offsets in chunks(batch.column(0)) for i in code.encode(data, offsets)]
+            ids = [i for _, _, data, offsets in chunks(batch.column(0)) for i in code.plain(data, offsets)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
@@ -180,7 +202,7 @@ def _pack_partition(path: str, dictionary: bytes, width: int, shard_bytes: int):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, last, data, offsets in chunks(batch.column(1)):
-                for doc_id, got in zip(ids[first:last], code.encode(data, offsets), strict=True):
+                for doc_id, got in zip(ids[first:last], code.plain(data, offsets), strict=True):
                     got += end
                     doc_ids.append(NO_ID if doc_id is None else doc_id)
                     counts.append(len(got) // width)
