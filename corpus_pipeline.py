@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe_sql, exact_dedup, langid, mixing, ngram_join
@@ -24,9 +24,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.select(*COLUMNS).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    """One document of each group of equal texts, as one row."""
+    key = ["__null", "__id", "__sha"]
+    named = [F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("__id")]
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(*named, F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.select(*COLUMNS, *named, F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("__sha")).join(kept, key)
+    # rows that repeat the kept id and its text, white space aside: the longest stays, as for keep_id
+    first = Window.partitionBy(*key).orderBy(F.length("text").desc_nulls_last(), "text", "lang", "source", "n_chars")
+    return rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,14 +29,18 @@ SEED = "mix"
 
 
 def _sizes(batches):
+    """The last column is text; its words are counted, the others stay."""
     for batch in batches:
-        for first, last, data, offsets in chunks(batch.column(2)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(Words(data, offsets).counts.astype("int64"))], names=["doc_id", "source", "size"])
+        names, text = batch.schema.names[:-1], batch.column(batch.num_columns - 1)
+        for first, last, data, offsets in chunks(text):
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(first, last - first) for n in names], pa.array(Words(data, offsets).counts.astype("int64"))], names=[*names, "size"])
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(_sizes, "doc_id long, source string, size long")
+def sized(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, source, the key column (a long) if there is one, and number of words of each row."""
+    keys = [key] if key else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *keys, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_sizes, ", ".join(["doc_id long", "source string", *[f"{k} long" for k in keys], "size long"]))
 
 
 def targets(totals: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -66,11 +70,11 @@ def offset(source, seed: str = SEED):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("\x00")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, *, key: str | None = None, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies and the key column, if one is named, for each row of docs (doc_id, text, source)."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = sized(docs).withColumn("unnamed", F.col("source").isNull())
+    rows = sized(docs, key).withColumn("unnamed", F.col("source").isNull())
     # written once: the ranges must not be drawn again between the counts and the ranks
     rows = cut(rows.repartitionByRange(parts, "unnamed", "source", "size", "doc_id").withColumn("part", F.spark_partition_id()))
     counts = rows.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -83,14 +87,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = (F.col("skip") + F.col("r")).cast("double")
     copies = F.when(F.col("size") > 0, F.floor(rank * each + F.col("u")) - F.floor((rank - 1) * each + F.col("u"))).otherwise(F.lit(0)).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *([key] if key else []))
 
 
 def copies(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs, with all its columns, as often as it is taken. Ids must be distinct."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__id", "__copies", "__copy")
+    """The mix itself: every row of docs, with all its columns, as often as it is taken; repeated rows are rows of their own."""
+    # written once: a row's key must be the same on both sides of the join
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = mix(rows, key="__row", **options).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
 
 
 ORACLE = r"""
