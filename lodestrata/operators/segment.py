@@ -1,7 +1,7 @@
 """Exact segmentation of a document's units into coarse chunks.
 
 Dynamic programming is sequential within a document and parallel across them: units meet as arrays of one row for each
-document and go through a scalar Arrow UDF, whose cost is quadratic in the units of one document.
+document and go through a scalar Arrow UDF. Its time is quadratic in the units of one document, its memory linear.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from .vectors import vector_sum, dot
 
 ALPHA, BETA = 1.0, 0.3
-#: Units of one document beyond which the operator refuses: costs are quadratic.
-MOST_UNITS = 20_000
 
 
 def target_k(total: Column) -> Column:
@@ -33,8 +31,6 @@ def crossings(units: DataFrame) -> DataFrame:
 def solve(vectors: np.ndarray, chars: np.ndarray, crossing: np.ndarray, target: float, alpha: float = ALPHA, beta: float = BETA) -> tuple[list[int], float]:
     """First unit of each segment and the total cost; of equal costs the longest last segment wins."""
     n = len(chars)
-    if n > MOST_UNITS:
-        raise ValueError(f"{n} units in one document; the limit is {MOST_UNITS}")
     sums = np.vstack([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0)])
     length, cross = np.concatenate(([0], np.cumsum(chars))), np.cumsum(crossing)
     best, parent = np.zeros(n + 1), np.zeros(n + 1, dtype=int)
