@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries in each partition.
 
-A task cuts its texts into the matches of the pattern and gives the distinct ones it hasn't met to DuckDB as rows
-(word, position, token), a row for each byte. A recursive query joins neighbouring tokens to the merge table and
+A task cuts its texts into the matches of the pattern (`matches`) and gives the distinct ones it hasn't met to DuckDB as
+rows (word, position, token), a row for each byte. A recursive query joins neighbouring tokens to the merge table and
 contracts each word's leftmost pair of minimum rank, until no word has a pair in the table; the rows of a word's last
 step are its tokens. Decoding joins token ids to the vocabulary and aggregates the pieces of a document in order of
 position.
@@ -9,8 +9,7 @@ position.
 The merge table has one pair for each token: the two parts left when the token's own bytes are merged by lower ranks.
 Tokens only ever meet in that way, and a part's rank is below its token's, so contracting all occurrences of a word's
 minimum pair at once, from the left, gives what one at a time would; long words are contracted so, in rounds whose rows
-are bounded. Words and parts of texts are
-cached by task process in about `CACHE_WORDS` and `CACHE_PARTS` bytes; the database is closed when a task ends.
+are bounded. Words are cached by task process in about `CACHE_WORDS` bytes; the database is closed when a task ends.
 
 Null texts count as empty: no tokens, digests of nothing. Special tokens in a text are ordinary text. Repeated rows give
 repeated results; other columns are ignored.
@@ -21,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import tempfile
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +27,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matches import Recent, encode_texts
 from .wordbatch import chunks
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Bytes that a generation of known words and one of known parts of texts may take, about.
-CACHE_WORDS, CACHE_PARTS = 48 << 20, 24 << 20
+#: Bytes that a generation of known words may take, about, and bytes of text that are encoded together.
+CACHE_WORDS, TEXT_BYTES = 64 << 20, 8 << 20
 #: Words up to this many bytes are contracted a pair at a time; rows that one recursive query may make, about.
 SHORT, ROWS = 48, 4_000_000
 #: Tokens of documents that are decoded together.
-DECODE_TOKENS = 100_000
+DECODE_TOKENS = 400_000
 
+#: Rows are tokens of n bytes at pos; best has rank, place and length of a word's leftmost pair of minimum rank, and q its second token's place.
 _STEP = """
-WITH RECURSIVE step(i, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM words
+WITH RECURSIVE step(i, w, pos, n, tok) AS (
+  SELECT 0, w, pos::INTEGER, 1, tok FROM words
   UNION ALL
-  SELECT i + 1, w, pos, CASE WHEN pos = (best >> 8) & 4294967295 THEN (best >> 40)::INTEGER ELSE tok END
-  FROM (
-    SELECT *, min(pair) OVER (PARTITION BY w) AS best FROM (
-      SELECT s.i, s.w, s.pos, s.tok, m.t::BIGINT * 1099511627776 + s.pos * 256 + (s.next - s.pos) AS pair
-      FROM (SELECT i, w, pos, tok, lead(tok) OVER x AS after, lead(pos) OVER x AS next FROM step WINDOW x AS (PARTITION BY w ORDER BY pos)) s
-      LEFT JOIN merges m ON m.l = s.tok AND m.r = s.after
-    )
-  ) WHERE best IS NOT NULL AND pos <> ((best >> 8) & 4294967295) + (best & 255)
+  SELECT s.i + 1, s.w, s.pos, CASE WHEN s.pos = (b.best >> 10) & 1023 THEN s.n + (b.best & 1023)::INTEGER ELSE s.n END, CASE WHEN s.pos = (b.best >> 10) & 1023 THEN (b.best >> 20)::INTEGER ELSE s.tok END
+  FROM step s JOIN (
+    SELECT x.w, min((m.t::BIGINT << 20) | (x.pos << 10) | y.n) AS best, arg_min(y.pos, (m.t::BIGINT << 20) | (x.pos << 10)) AS q
+    FROM step x JOIN step y ON y.w = x.w AND y.pos = x.pos + x.n JOIN merges m ON m.l = x.tok AND m.r = y.tok GROUP BY x.w
+  ) b ON b.w = s.w AND s.pos <> b.q
 )
-SELECT w, pos, tok FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM step) WHERE i = last ORDER BY w, pos
+SELECT w, pos, tok FROM step JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) USING (w, i) ORDER BY w, pos
 """
 _ROUND = """
 WITH RECURSIVE step(i, w, pos, tok) AS (
@@ -74,84 +71,7 @@ WITH RECURSIVE step(i, w, pos, tok) AS (
 )
 SELECT w, pos, tok, last FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM step) WHERE i = last ORDER BY w, pos
 """
-_DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
-
-_MARKS = frozenset(".,;:!?")
-#: First bytes of the characters beyond ASCII that may be white space.
-_WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
-
-
-def part_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where parts of texts begin, and the end: no match of the pattern crosses a text's edge or a space between two bytes that can't be white space."""
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    at = np.flatnonzero(data[1:-1] == 0x20) + 1
-    at = at[~edge[at + 1]]
-    before, after = data[at - 1], data[at + 1]
-    keep = (before > 0x20) & (after > 0x20) & ~_WIDE[after]
-    wide = before >= 0x80
-    keep[wide] &= ~(_WIDE[data[at[wide] - 2]] | _WIDE[data[at[wide] - 3]])
-    edge[at[keep]] = True
-    return np.flatnonzero(edge)
-
-
-def encode_texts(data: np.ndarray, offsets: np.ndarray, width: int, ids_of) -> list[bytes]:
-    """Token ids of each text [offsets[i], offsets[i + 1]) of UTF-8 data, little-endian, width bytes each; ids_of gives those of distinct parts."""
-    if not len(data):
-        return [b""] * (len(offsets) - 1)
-    bounds = part_bounds(data, offsets)
-    parts = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    values = ids_of(parts.dictionary.cast(pa.large_string()).to_pylist())
-    flat = np.frombuffer(b"".join(values), dtype=f"<u{width}")
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
-    which = parts.indices.to_numpy()
-    counts = sizes[which]
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    raw = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
-    at = (ends[np.searchsorted(bounds, offsets)] * width).tolist()
-    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-
-def finder(pattern: str):
-    """All matches of the pattern in a part of a text; parts that are a plain word need no regular expression."""
-    import regex
-
-    find = regex.compile(pattern).findall
-    if pattern != public_tokenizers.PATTERN:
-        return find
-
-    def matches(part: str) -> list[str]:
-        word = part[1:] if part[0] == " " else part
-        if word.isalpha():
-            return [part]
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            return [part[:-1], part[-1]]
-        return find(part)
-
-    return matches
-
-
-class Recent(dict):
-    """Known values by string, in two generations of about `most` bytes: when the younger is full the older goes, but for what is asked for."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.size, self.old = most, 0, {}
-
-    def unknown(self, keys: set[str]) -> set[str]:
-        """Those of keys that must be worked out; the others can be looked up until the next call."""
-        if self.size > self.most:
-            self.old, self.size = dict(self), 0
-            self.clear()
-        keys = keys.difference(self)
-        back = keys.intersection(self.old)
-        self.learn(back, [self.old[k] for k in back])
-        return keys - back
-
-    def learn(self, keys: Iterable[str], values: list[bytes]) -> None:
-        self.update(zip(keys, values, strict=True))
-        # a key is about as long as its value
-        self.size += 200 * len(values) + 2 * sum(map(len, values))
+_DECODE = "SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS text FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
 class Vocabulary:
@@ -185,14 +105,13 @@ def vocabulary(path: str) -> Vocabulary:
 class Coder:
     """The words encoded so far and, while open, a DuckDB database with the merge table and the vocabulary."""
 
-    def __init__(self, pieces: list[bytes], merges: np.ndarray, pattern: str):
+    def __init__(self, pieces: list[bytes], merges: np.ndarray):
         self.pieces, self.merges = pieces, merges
         self.byte = np.zeros(256, dtype=np.int32)
         for i, p in enumerate(pieces):
             if len(p) == 1:
                 self.byte[p[0]] = i
-        self.find = finder(pattern)
-        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
+        self.words = Recent(CACHE_WORDS)
         self.folder = tempfile.mkdtemp(prefix="bpe-")
 
     def __enter__(self) -> Coder:
@@ -245,29 +164,25 @@ class Coder:
             state = got.filter(pa.array(more)).select(["w", "pos", "tok"])
         return self._split(pa.concat_tables(done).sort_by([("w", "ascending"), ("pos", "ascending")]), len(words))
 
-    def encode_words(self, words: list[str]) -> None:
+    def encode_words(self, words: list[bytes]) -> None:
         """Adds the tokens of words to self.words."""
-        todo = sorted(((w.encode(), w) for w in words), key=lambda x: len(x[0]))
+        todo = sorted(words, key=len)
         i = 0
         while i < len(todo):
-            long, cost, j = len(todo[i][0]) > SHORT, 0, i
-            while j < len(todo) and (len(todo[j][0]) > SHORT) == long and (j == i or cost < (200_000 if long else ROWS // 2)):
-                cost += len(todo[j][0]) if long else len(todo[j][0]) ** 2
+            long, cost, j = len(todo[i]) > SHORT, 0, i
+            while j < len(todo) and (len(todo[j]) > SHORT) == long and (j == i or cost < (200_000 if long else ROWS // 2)):
+                cost += len(todo[j]) if long else len(todo[j]) ** 2
                 j += 1
-            ids = (self._long if long else self._short)([b for b, _ in todo[i:j]])
-            self.words.learn((w for _, w in todo[i:j]), ids)
+            self.words.learn(todo[i:j], (self._long if long else self._short)(todo[i:j]))
             i = j
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        matches = {p: self.find(p) for p in self.parts.unknown(set(parts))}
-        self.encode_words(list(self.words.unknown({w for m in matches.values() for w in m})))
-        get = self.words.__getitem__
-        self.parts.learn(matches, [b"".join(map(get, m)) for m in matches.values()])
-        return list(map(self.parts.__getitem__, parts))
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        self.encode_words(self.words.unknown(words))
+        return list(map(self.words.__getitem__, words))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Token ids of each text, little-endian and 4 bytes each."""
-        return encode_texts(data, offsets, 4, self._parts)
+        return encode_texts(data, offsets, 4, self._ids)
 
     def decode(self, documents: list[bytes]) -> list[bytes]:
         """The bytes of each document from its ids."""
@@ -291,20 +206,20 @@ class Coder:
 _coders: dict[str, Coder] = {}
 
 
-def coder(key: str, pieces: list[bytes], merges: np.ndarray, pattern: str) -> Coder:
+def coder(key: str, pieces: list[bytes], merges: np.ndarray) -> Coder:
     """This process's coder; task processes are used again, so words stay known."""
     if key not in _coders:
         _coders.clear()
-        _coders[key] = Coder(pieces, merges, pattern)
+        _coders[key] = Coder(pieces, merges)
     return _coders[key]
 
 
-def _run(key: str, shared, pattern: str):
+def _run(key: str, shared):
     def run(batches):
         pieces, merges = shared.value
-        with coder(key, pieces, merges, pattern) as code:
+        with coder(key, pieces, merges) as code:
             for batch in batches:
-                for first, last, data, offsets in chunks(batch.column(1), 1 << 20):
+                for first, last, data, offsets in chunks(batch.column(1), TEXT_BYTES):
                     ids = code.encode(data, offsets)
                     back = code.decode(ids)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -312,7 +227,7 @@ def _run(key: str, shared, pattern: str):
     return run
 
 
-def encode_decode(docs: DataFrame, *, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode_decode(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text); path: a rank file."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     known = vocabulary(path)
@@ -322,4 +237,4 @@ def encode_decode(docs: DataFrame, *, path: str | None = None, pattern: str = pu
     # the vocabulary is a file of fixed size: half a megabyte here
     shared = docs.sparkSession.sparkContext.broadcast((pieces, known.merges))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_run(path, shared, pattern), RESULT)
+    return rows.mapInArrow(_run(path, shared), RESULT)

@@ -10,8 +10,8 @@ compressed on its own with that dictionary, and packed into shards of about `sha
 so one document is read by its offset alone (`Shard.ids`). Shards and the dictionary are written by Spark as Parquet
 tables `shards` and `dictionary` under one folder, which gives the commit of tasks and any file system Spark knows.
 
-Texts are encoded by the tokenizers library's model: each distinct match of the vocabulary's own pattern once by a process,
-as no token crosses matches. Matches are found in the distinct parts of texts, cut before single spaces.
+Texts are encoded by the tokenizers library's model: each distinct match of the vocabulary's own pattern once by a
+process, as no token crosses matches; `matches` finds them for many texts at once.
 
 Null texts count as empty and have the end id alone. A null doc_id is stored as the smallest 64-bit integer and comes
 first. Rows with one doc_id stand side by side, in order of length and ids. Other columns are ignored. Strings of
@@ -24,7 +24,7 @@ import hashlib
 import struct
 import uuid
 import zlib
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -33,10 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_sql import CACHE_PARTS, CACHE_WORDS, Recent, encode_texts, finder
+from .matches import Recent, encode_texts
 from .storage import partitions, shared_folder
 from .wordbatch import chunks
 
+#: Bytes that a generation of known matches may take, about, and bytes of text that are encoded together.
+CACHE_WORDS, TEXT_BYTES = 64 << 20, 8 << 20
 END = 0
 LEVEL = 3
 SHARD_BYTES = 4 << 20
@@ -48,13 +50,14 @@ RESULT = "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 l
 
 #: A character for each byte, as in byte-level vocabularies: printable ones of Latin-1 stand for themselves, the others take those from 256 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+_LETTERS = np.arange(256, dtype="<u4")
+_LETTERS[sorted(set(range(256)) - _PRINTABLE)] = np.arange(256, 256 + 256 - len(_PRINTABLE))
 
 
 class Encoder:
-    """The tokenizers library behind a cache of parts of texts."""
+    """The tokenizers library behind a cache of matches."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,27 +70,28 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.find = finder(pattern)
-        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
+        self.words = Recent(CACHE_WORDS)
 
-    def _ids(self, words: list[str]) -> list[bytes]:
+    def _merged(self, words: list[bytes]) -> list[bytes]:
         """Ids of each match: the library's model merges its letters."""
-        found = [[t.id for t in self.merge(w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
-        raw = np.array(list(chain.from_iterable(found)), f"<u{self.width}").tobytes()
-        at = [0, *accumulate(len(f) * self.width for f in found)]
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        matches = {p: self.find(p) for p in self.parts.unknown(set(parts))}
-        new = list(self.words.unknown({w for m in matches.values() for w in m}))
-        self.words.learn(new, self._ids(new))
-        get = self.words.__getitem__
-        self.parts.learn(matches, [b"".join(map(get, m)) for m in matches.values()])
-        return list(map(self.parts.__getitem__, parts))
+        letters = _LETTERS[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        at = [0, *accumulate(map(len, words))]
+        ids: list[int] = []
+        ends = [0]
+        for a, b in zip(at, at[1:], strict=False):
+            ids += [t.id for t in self.merge(letters[a:b])]
+            ends.append(len(ids) * self.width)
+        raw = np.array(ids, f"<u{self.width}").tobytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        new = self.words.unknown(words)
+        self.words.learn(new, self._merged(new))
+        return list(map(self.words.__getitem__, words))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each text, little-endian and self.width bytes each; strings of added tokens are ordinary text."""
-        return encode_texts(data, offsets, self.width, self._parts)
+        return encode_texts(data, offsets, self.width, self._ids)
 
     def plain(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """As encode(), but strings of added tokens are those tokens."""
@@ -157,7 +161,7 @@ def _serialized(path: str):
     def run(batches):
         code = encoder(path)
         for batch in batches:
-            ids = [i for _, _, data, offsets in chunks(batch.column(0)) for i in code.plain(data, offsets)]
+            ids = [i for _, _, data, offsets in chunks(batch.column(0), TEXT_BYTES) for i in code.plain(data, offsets)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
@@ -201,7 +205,7 @@ def _pack_partition(path: str, dictionary: bytes, width: int, shard_bytes: int):
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, last, data, offsets in chunks(batch.column(1)):
+            for first, last, data, offsets in chunks(batch.column(1), TEXT_BYTES):
                 for doc_id, got in zip(ids[first:last], code.plain(data, offsets), strict=True):
                     got += end
                     doc_ids.append(NO_ID if doc_id is None else doc_id)
