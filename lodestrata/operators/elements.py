@@ -104,57 +104,89 @@ def from_html(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(_html_texts(F.col("html"))).alias("idx", "e"))
     return rows.select("doc_id", "idx", "e.type", "e.text").where("text <> ''")
 
+def type_counts(elements: DataFrame) -> DataFrame:
+    return elements.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
-def html_openings(pages: DataFrame) -> DataFrame:
-    """What stands between a plain h1, li or p tag and the next tag of any kind, as the SQL of html_elements has it."""
-    clean = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    found = F.regexp_extract_all(clean, F.lit(r"(?is)(<(?:h1|li|p)>[^<]*)"), F.lit(1))
-    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("idx", "raw"))
-    tag = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z0-9]+)>", 1))
-    kind = F.when(tag == "h1", HEADER).when(tag == "li", ITEM).otherwise(TEXT)
-    return rows.select("doc_id", "idx", kind.alias("type"), T.strip(F.regexp_replace("raw", "^<[a-zA-Z0-9]+>", "")).alias("text")).where("text <> ''")
 
+def extract_stats(elements: DataFrame) -> DataFrame:
+    """Elements, pages, characters, characters of the joined text and counts by type (a map) of each document."""
+    per = elements.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.collect_set("page").alias("pages"))
+    out = per.groupBy("doc_id").agg(
+        F.sum("n").alias("n_elements"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("n_pages"),
+        F.sum("chars").alias("chars"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("type_counts"),
+    )
+    return out.withColumn("markdown_chars", F.col("chars") + 2 * (F.col("n_elements") - 1))
 
-def type_counts(elements: DataFrame) -> DataFrame:
-    return elements.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+def page_text_stats(pages: DataFrame) -> DataFrame:
+    """Pages, characters of their joined text and mean of each document of pages (doc_id, page, text); null pages of text count as empty."""
+    n = F.count(F.lit(1))
+    chars = F.sum(F.length(F.coalesce("text", F.lit("")))) + 2 * (n - 1)
+    return pages.groupBy("doc_id").agg(n.alias("n_pages"), chars.alias("total_chars"), F.bround(chars / n, 1).alias("mean_chars_per_page"))
 
 
 def font_histogram(spans: DataFrame) -> DataFrame:
     """Characters by font size (rounded to 0.1) of a document's text spans."""
     size = F.bround("size", 1)
-    return spans.where("block_type = 0").groupBy("doc_id", size.alias("size")).agg(F.sum(F.length("text")).alias("chars"), F.min("pos").alias("first")).where("size > 0")
+    found = spans.where("block_type = 0").groupBy("doc_id", size.alias("size"))
+    return found.agg(F.sum(F.length("text")).alias("chars"), F.min("pos").alias("first")).where("size > 0")
 
 
-def body_size(histogram: DataFrame) -> DataFrame:
-    """The size of most characters; of equal ones, the first met. Documents without any are absent."""
-    return histogram.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("first"))).alias("body"))
+def fonts(histogram: DataFrame) -> DataFrame:
+    """One row for each document: body (the size of most characters; of equal ones, the first met) and heading_sizes.
 
+    Heading sizes are the four largest sizes well above the body's that have five characters, largest first.
+    """
+    sizes = F.collect_list(F.struct("size", "chars"))
+    per = histogram.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("first"))).alias("body"), sizes.alias("sizes"))
+    large = F.transform(F.filter("sizes", lambda s: (s["size"] > F.col("body") * 1.05) & (s["chars"] >= 5)), lambda s: s["size"])
+    return per.select("doc_id", "body", F.slice(F.sort_array(large, asc=False), 1, 4).alias("heading_sizes"))
 
-def heading_sizes(histogram: DataFrame) -> DataFrame:
-    """The four largest sizes well above the body's that have five characters, ranked."""
-    large = histogram.join(body_size(histogram), "doc_id").where("size > body * 1.05D AND chars >= 5")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))
-    return large.select("doc_id", "size", rank.alias("level")).where("level <= 4")
 
+def unreadable(spans: DataFrame) -> DataFrame:
+    """Documents that have spans but no text of any size (scans, say), with the reason: they have no blocks."""
+    has_text = F.max(F.when((F.col("block_type") == 0) & (F.bround("size", 1) > 0), 1).otherwise(0))
+    return spans.groupBy("doc_id").agg(has_text.alias("readable")).where("readable = 0").select("doc_id", F.lit("no text").alias("reason"))
 
-def blocks(spans: DataFrame) -> DataFrame:
-    """Text, largest size and boldness of each block."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    out = spans.where("block_type = 0").groupBy("doc_id", "block").agg(ordered.alias("o"), F.max(F.bround("size", 1)).alias("max_size"), F.max(F.col("flags").bitwiseAND(16) != 0).alias("bold"))
-    text = T.strip(F.regexp_replace(F.array_join(F.transform("o", lambda s: s["text"]), " "), r"(?U)\s+", " "))
-    return out.select("doc_id", "block", text.alias("text"), "max_size", "bold").where("text <> ''")
 
-
-def classify(blocks_: DataFrame, histogram: DataFrame) -> DataFrame:
+def blocks(spans: DataFrame) -> DataFrame:
+    """Text, largest size and boldness of each block (doc_id, page, block); spans of a line meet without a space, lines with one."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "line", F.coalesce("text", F.lit("")).alias("text"))))
+    out = (
+        spans.where("block_type = 0")
+        .groupBy("doc_id", "page", "block")
+        .agg(ordered.alias("o"), F.max(F.bround("size", 1)).alias("max_size"), F.max(F.col("flags").bitwiseAND(16) != 0).alias("bold"))
+    )
+    breaks = lambda i: (i > 0) & ~F.get(F.col("o"), i - 1)["line"].eqNullSafe(F.get(F.col("o"), i)["line"])
+    parts = F.transform("o", lambda s, i: F.concat(F.when(breaks(i), F.lit(" ")).otherwise(F.lit("")), s["text"]))
+    out = out.select("doc_id", "page", "block", T.collapse(F.array_join(parts, "")).alias("text"), "max_size", "bold", F.col("o")[0]["pos"].alias("first"))
+    return out.where("text <> ''")
+
+
+def classify(blocks_: DataFrame, fonts_: DataFrame) -> DataFrame:
     """Type and level of each block by font: exact size, then short bold text, then list markers."""
-    levels = heading_sizes(histogram)
-    n = levels.groupBy("doc_id").agg(F.max("level").alias("n_levels"))
-    rows = blocks_.join(levels.withColumnRenamed("size", "max_size"), ["doc_id", "max_size"], "left").join(body_size(histogram), "doc_id").join(n, "doc_id", "left")
+    rows = blocks_.join(fonts_, "doc_id")
+    by_size = F.array_position("heading_sizes", F.col("max_size")).cast("int")
     short_bold = F.col("bold") & (F.length("text") <= 120) & (F.col("max_size") >= F.col("body"))
-    level = F.coalesce("level", F.when(short_bold, F.greatest(F.lit(2), F.coalesce("n_levels", F.lit(0))) + 1).otherwise(F.lit(0)))
+    level = F.when(by_size > 0, by_size).when(short_bold, F.greatest(F.lit(2), F.size("heading_sizes")) + 1).otherwise(F.lit(0))
     rows = rows.withColumn("level", level)
     kind = F.when((F.col("level") >= 1) & (F.length("text") <= 250), HEADER).when(T.is_list_item(F.col("text")), ITEM).otherwise(TEXT)
-    return rows.select("doc_id", "block", "text", "max_size", "level", kind.alias("type"))
+    return rows.select("doc_id", "page", "block", "first", "text", "max_size", "level", kind.alias("type"))
+
+
+def from_spans(spans: DataFrame) -> DataFrame:
+    """Elements (doc_id, idx, page, type, level, text, heading_level) of spans (doc_id, page, block, line, pos, block_type, size, flags, text).
+
+    Spans are dealt by document once; the histogram, the blocks and the numbering all work on that. Documents without any
+    text are not here but in `unreadable`.
+    """
+    dealt = spans.repartition("doc_id")
+    rows = classify(blocks(dealt), fonts(font_histogram(dealt)))
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1
+    heading_level = F.when(F.col("type") == HEADER, F.greatest("level", F.lit(1)))
+    return rows.select("doc_id", idx.alias("idx"), "page", "type", F.lit(1).alias("level"), "text", heading_level.alias("heading_level"))
 
 
 def parent_heading(elements: DataFrame) -> DataFrame:

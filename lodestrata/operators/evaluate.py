@@ -2,42 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vectors import adjacent, dot, pairwise_mean
 
+LEAST_HEADING, SAMPLE, CUT = 4, 5, 60
 
-def size_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
+
+def size_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, population deviation, extremes and interpolated percentiles."""
     p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), p.alias("p"), F.max(value).alias("most"))
-    return out.select(by, "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "least", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "median", "p90"))], "most")
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), p.alias("p"), F.max(value).alias("most"))
+    return out.select(*by, "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "least", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "median", "p90"))], "most")
 
 
 def intra_coherence(sentences: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """Mean over chunks of two sentences or more of their mean pairwise cosine; 0 without any."""
-    per = pairwise_mean(sentences, by, vector).where("k > 1")
-    return per.groupBy(*by[:-1]).agg(F.avg("mean_cosine").alias("coherence"))
+    """Mean over chunks of two sentences or more of their mean pairwise cosine; 0 for a group without any."""
+    per = pairwise_mean(sentences, by, vector)
+    return per.groupBy(*by[:-1]).agg(F.coalesce(F.avg(F.when(F.col("k") > 1, F.col("mean_cosine"))), F.lit(0.0)).alias("coherence"))
 
 
 def inter_adjacent(chunks: DataFrame, group: str, order: str, vector: str) -> DataFrame:
-    return adjacent(chunks, group, order, vector).groupBy(group).agg(F.avg("cosine").alias("similarity"))
+    """Mean cosine of neighbouring chunks; 0 for a group of one chunk."""
+    return adjacent(chunks, group, order, vector).groupBy(group).agg(F.coalesce(F.avg("cosine"), F.lit(0.0)).alias("similarity"))
+
+
+def queries(chunks: DataFrame) -> DataFrame:
+    """doc_id, query, gt: the heading of every structural chunk whose heading has four characters, and the chunk's id."""
+    return chunks.where(F.length("heading") >= LEAST_HEADING).select("doc_id", F.col("heading").alias("query"), F.col("id").alias("gt"))
+
 
+def covered(chunks: DataFrame) -> DataFrame:
+    """Chunks with the structural ids that they cover: those they name, else their parent's, else their own."""
+    told = [F.col("structural_ids")] if "structural_ids" in chunks.columns else []
+    told += [F.when(F.col("parent_structural_id").isNotNull(), F.array("parent_structural_id"))] if "parent_structural_id" in chunks.columns else []
+    kind = "array<bigint>"
+    return chunks.withColumn("covers", F.coalesce(*[c.cast(kind) for c in told], F.array("id").cast(kind)))
 
-def ranks(queries: DataFrame, chunks: DataFrame, group: str) -> DataFrame:
-    """Rank of every chunk for every query of its group: by cosine, then id. queries: qid, qv; chunks: id, v."""
-    scored = queries.join(chunks, group).withColumn("sim", F.round(dot(F.col("qv"), F.col("v")), 9))
+
+def ranks(asked: DataFrame, chunks: DataFrame, group: str) -> DataFrame:
+    """Rank of every chunk for every query of its group: by cosine, then id. asked: qid, qv; chunks: id, v. All pairs of a group are the result."""
+    scored = asked.join(chunks, group).withColumn("sim", F.round(dot(F.col("qv"), F.col("v")), 9))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group, "qid").orderBy(F.desc("sim"), "id")))
 
 
-def first_relevant(ranked: DataFrame, group: str, relevant: Column) -> DataFrame:
-    return ranked.groupBy(group, "qid").agg(F.min(F.when(relevant, F.col("rank"))).alias("first_rank"))
+def first_relevant(asked: DataFrame, chunks: DataFrame, group: str, relevant) -> DataFrame:
+    """Every row of asked (qv, ...) with the first rank, from 1, of a chunk (id, v, ...) for which relevant(chunk) holds; null without one.
+
+    The chunks of a group meet its queries as one row, so pairs are neither sorted nor shuffled: the rank of the best
+    relevant chunk is one more than the number of chunks before it.
+    """
+    rest = [c for c in chunks.columns if c not in (group, "id", "v")]
+    held = chunks.groupBy(group).agg(F.collect_list(F.struct("id", "v", *rest)).alias("__chunks"))
+    place = lambda c: F.struct((-F.round(dot(F.col("qv"), c["v"]), 9)).alias("far"), c["id"].alias("id"))
+    told = F.transform("__chunks", lambda c: F.struct(place(c).alias("at"), F.coalesce(relevant(c), F.lit(False)).alias("good")))
+    rows = asked.join(held, group, "left").withColumn("__told", told)
+    best = F.array_min(F.transform(F.filter("__told", lambda t: t["good"]), lambda t: t["at"]))
+    rows = rows.withColumn("__best", best)
+    before = F.size(F.filter("__told", lambda t: t["at"] < F.col("__best")))
+    return rows.withColumn("first_rank", F.when(F.col("__best").isNotNull(), before + 1)).select(*asked.columns, "first_rank")
 
 
-def recall(first: DataFrame, by: str | None, at: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def recall(first: DataFrame, by: list[str], at: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     hit = [F.bround(F.avg(F.coalesce((F.col("first_rank") <= k).cast("int"), F.lit(0))), 3).alias(f"recall_{k}") for k in at]
-    return first.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("n_queries"), *hit)
+    return first.groupBy(*by).agg(F.count(F.lit(1)).alias("n_queries"), *hit)
+
+
+def query_sample(first: DataFrame, by: list[str]) -> DataFrame:
+    """The first five queries of a group with their rank, from 0, as an array (q, gt_sid, first_rel_rank)."""
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("gt"))
+    some = first.withColumn("__r", order).where(F.col("__r") <= SAMPLE)
+    row = F.struct(F.col("gt").alias("gt_sid"), F.substring("query", 1, CUT).alias("q"), (F.col("first_rank") - 1).alias("first_rel_rank"))
+    return some.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("sample"))
+
+
+def missing_strategy(asked: DataFrame, name: str) -> DataFrame:
+    """A row for a strategy that has no chunks, for each document that has queries."""
+    kinds = "n bigint, mean double, std double, least bigint, p10 double, median double, p90 double, most bigint, coherence double, similarity double, n_queries bigint, recall_1 double, recall_3 double, recall_5 double, sample array<struct<gt_sid:bigint,q:string,first_rel_rank:int>>"
+    none = [F.lit(None).cast(k.split(" ", 1)[1]).alias(k.split(" ", 1)[0]) for k in kinds.split(", ")]
+    return asked.select("doc_id").distinct().select("doc_id", F.lit(name).alias("strategy"), *none, F.lit(f"missing {name}").alias("_error"))
+
+
+def strategy(name: str, chunks: DataFrame, sentences: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row for each document: sizes, coherence, similarity of neighbours, recall and a sample of queries of one strategy's chunks.
+
+    chunks: doc_id, id, n_chars, v, covers; sentences: doc_id, id, vector; asked: doc_id, query, gt, qv. Recall is 0 and
+    n_queries 0 where nothing is asked.
+    """
+    first = first_relevant(asked, chunks.select("doc_id", "id", "v", "covers"), "doc_id", lambda c: F.array_contains(c["covers"], F.col("gt").cast("long")))
+    rows = size_stats(chunks.withColumn("n_chars", F.col("n_chars").cast("long")), ["doc_id"], "n_chars")
+    rows = rows.join(intra_coherence(sentences, ["doc_id", "id"], "vector"), "doc_id", "left").join(inter_adjacent(chunks, "doc_id", "id", "v"), "doc_id")
+    rows = rows.join(recall(first, ["doc_id"]), "doc_id", "left").join(query_sample(first, ["doc_id"]), "doc_id", "left")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("recall_1", "recall_3", "recall_5")]
+    sample = F.col("sample").cast("array<struct<gt_sid:bigint,q:string,first_rel_rank:int>>").alias("sample")
+    return rows.select(
+        "doc_id", F.lit(name).alias("strategy"), "n", "mean", "std", "least", "p10", "median", "p90", "most",
+        F.bround(F.coalesce("coherence", F.lit(0.0)), 4).alias("coherence"), F.bround("similarity", 4).alias("similarity"),
+        F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *zero, sample, F.lit(None).cast("string").alias("_error"))
 
 
 def histogram(rows: DataFrame, by: str, value: str, bins: int = 20) -> DataFrame:
@@ -50,11 +112,6 @@ def histogram(rows: DataFrame, by: str, value: str, bins: int = 20) -> DataFrame
 
 def peaks(rows: DataFrame, group: str, order: str, vector: str, q: float = 0.9) -> DataFrame:
     """Places where the distance to the next row reaches its group's quantile."""
-    near = adjacent(rows, group, order, vector).withColumn("distance", F.round(1 - F.col("cosine"), 6))
+    near = adjacent(rows, group, order, vector).where("cosine is not null").withColumn("distance", F.round(1 - F.col("cosine"), 6))
     limit = near.groupBy(group).agg(F.percentile("distance", F.lit(q)).alias("threshold"))
     return near.join(limit, group).where("distance >= threshold - 1e-9D").select(group, order, "distance")
-
-
-def covered(rows: DataFrame) -> DataFrame:
-    """The structural ids a chunk covers, whatever its strategy."""
-    return rows.withColumn("covers", F.coalesce("structural_ids", F.array("id")))

@@ -1,4 +1,4 @@
-"""Every unit asks in the retrieval queries named _all, against brute force."""
+"""Every unit asks in the retrieval queries, against brute force."""
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -20,10 +20,10 @@ def test_every_unit_asks(spark):
             order = sorted((-round(float(v @ w), 9), k) for k, w in units)
             ranks |= {(doc, q, k, i) for i, (_, k) in enumerate(order, 1)}
             first[doc, q] = next((i for i, (_, k) in enumerate(order, 1) if k != q and k % 50 // 9 == q % 50 // 9), None)
-    found = catalogue.queries()["retrieval_rank_all"](spark, DIR).collect()
+    found = catalogue.queries()["retrieval_rank"](spark, DIR).collect()
     assert len(found) == len(ranks) and {(r.doc_id, r.qid, r.id, r.rank) for r in found} == ranks
-    assert {(r.doc_id, r.qid): r.first_rank for r in catalogue.queries()["first_relevant_all"](spark, DIR).collect()} == first
-    for r in catalogue.queries()["recall_at_k_all"](spark, DIR).collect():
+    assert {(r.doc_id, r.qid): r.first_rank for r in catalogue.queries()["first_relevant"](spark, DIR).collect()} == first
+    for r in catalogue.queries()["recall_at_k"](spark, DIR).collect():
         own = [f for (doc, _), f in first.items() if doc == r.doc_id]
         assert r.n_queries == len(own) == len(docs[r.doc_id])
         assert all(abs(r[f"recall_{k}"] - sum(f is not None and f <= k for f in own) / len(own)) <= 0.0005 + 1e-9 for k in (1, 3, 5))
