@@ -2,11 +2,12 @@
 
 Base rules find e-mail addresses, IP addresses, cards and phone numbers; they always stay. Three high-recall generators
 propose more, overlapping spans: assignments to names like token or password, long mixed runs of letters and digits,
-and loose runs of digits. Boosted trees of depth 2 judge each proposal by its format and its context; they are fitted on
-the proposals of at most `max_docs` documents (chosen by hash of the id: the documented bound), which the base rules and
-well-known key formats label. The counts by feature vector, a table bounded by the features' ranges, are all that comes
-to the driver. The threshold is the least score at which the labelled proposals above it are right `precision` of the
-time; proposals that reach it and don't overlap a base span or a better one become spans `secret` and `number`.
+and loose runs of digits. Boosted trees of depth 2 judge each proposal by its format and its context. They are fitted on
+`pii_examples`: generated personal numbers and secrets among commit hashes, checksums, ISBNs, order numbers, dates and
+the like, labelled by what they were made as. One half fits the trees; a quarter sets a threshold for each generator,
+the least score at which the proposals that reach it are right `precision` of the time; the last quarter is for measuring
+(`measured`). Only counts by feature vector, a table bounded by the number of examples, come to the driver. Proposals
+that reach their threshold and don't overlap a base span or one of an earlier generator become spans `secret` and `number`.
 
 Positions come from the lengths of what stands between matches, so everything is one projection over the documents: no
 shuffle, no Python. Java's regular expressions get possessive loops, which don't recurse, and look-behinds that stop
@@ -18,10 +19,13 @@ Null and empty texts have no spans. Repeated rows give repeated results; other c
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pii_examples import examples
+
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns, written so that a failing run of characters is read once.
 PATTERN = {
@@ -29,9 +33,9 @@ PATTERN = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "assigned": r"(?i:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd|key)[\x20]?[=:][\x20]?[\"']?[A-Za-z0-9+/_.-]{8,}+",
-    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
-    "digits": r"(?<![0-9A-Za-z+.-])[0-9](?:[\x20.()-]{0,2}[0-9]){7,14}+(?![0-9A-Za-z])",
+    "assigned": r"(?<![A-Za-z])(?i:token|secret|(?:api|access|private|client|secret|primary)[\x20_-]?key|key|credentials?|passw(?:or)?d|pwd)\"?[\x20]?(?:[=:]|is(?=[\x20]))[\x20]?[\"']?[A-Za-z0-9+/_.-]{8,}+",
+    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
+    "digits": r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[\x20.()-]{0,2}[0-9]){7,}+(?![0-9A-Za-z])",
 }
 #: Texts without this have no match.
 NEEDS = {
@@ -39,13 +43,12 @@ NEEDS = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
-    "assigned": lambda t: t.rlike(r"[=:]"),
+    "assigned": lambda t: t.rlike(r"(?i)token|secret|key|credential|passw|pwd"),
     "mixed": lambda t: t.rlike(r"[0-9]"),
     "digits": lambda t: t.rlike(r"[0-9]"),
 }
 GENERATORS = ("assigned", "mixed", "digits")
-MAX_DOCS = 200_000
-ROUNDS, RATE, PRECISION = 12, 0.5, 0.95
+EXAMPLES, ROUNDS, RATE, PRECISION = 8000, 40, 0.3, 0.99
 #: Positions are summed in runs of this many matches, so that very many matches in one text don't cost their square.
 _RUN = 64
 _EMPTY = "array<struct<gap:string,match:string>>"
@@ -99,69 +102,81 @@ VALID = {
     "card": lambda m: _n_digits(m).between(16, 19) & luhn(m),
     "phone": lambda m: _n_digits(m).between(8, 15),
 }
-_WORDS = r"(?i)(?:token|secret|key|passw|pwd|auth|credential)"
-_NUMBERS = r"(?i)(?:tel|phone|call|fax|mobile|ssn|iban|card|account|passport|birth)"
+_SECRET = r"(?i)(?:token|secret|passw|pwd|auth|credential|bearer|(?:api|access|private|client)[\x20_-]?key)"
+_PERSON = r"(?i)(?:tel\.|telephone|phone|call|fax|mobile|ssn|social|iban|card|account|passport|tax|insurance)"
+_THING = r"(?i)(?:commit|revision|revert|merge|sha|md5|checksum|digest|hash|etag|build|version|release|isbn|doi|order|invoice|tracking|ticket|part|uuid|request|http|static|pp\.|lat|population|cost|timestamp|file|model|dated)"
+#: Code points of context before a proposal.
+_NEAR = 24
 
 
-def _least(value: Column, most: int) -> Column:
-    return F.least(value, F.lit(most))
+def let(value: Column, of) -> Column:
+    """of(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def features(generator: str, text: Column, span: Column) -> list[Column]:
-    """Small integers that describe format and context of a proposal."""
-    m = span["match"]
-    near = F.substring(F.concat(F.repeat(F.lit(" "), 24), text), span["start"] + 1, F.lit(24))
-    letters = lambda pattern: F.length(F.regexp_replace(m, pattern, ""))
-    switches = F.length(F.regexp_replace(m, r"([A-Za-z](?=[0-9])|[0-9](?=[A-Za-z]))|(?s:.)", "$1"))
-    return [
-        F.lit(GENERATORS.index(generator)),
-        _least(F.length(m) / 4, 12).cast("int"),
-        _least(letters("[^0-9]"), 16),
-        _least(letters("[^A-Z]"), 8),
-        _least(letters("[A-Za-z0-9]"), 6),
-        _least(switches, 8),
-        F.when(m.rlike(_WORDS) | near.rlike(_WORDS), F.lit(1)).otherwise(F.lit(0)),
-        F.when(near.rlike(_NUMBERS), F.lit(1)).otherwise(F.lit(0)),
-        F.when(letters("[^0-9]").between(12, 19) & luhn(m), F.lit(1)).otherwise(F.lit(0)),
-    ]
-
-
-def _label(generator: str, span: Column, base: Column) -> Column:
-    """What the base rules and well-known formats say of a proposal."""
+def features(generator: str, text: Column, span: Column) -> Column:
+    """Small integers that describe format and context of a proposal, as an array."""
     m = span["match"]
-    strong = m.rlike(r"^AKIA[0-9A-Z]{16}$") | m.rlike(r"^[0-9a-f]{32,64}$")
-    if generator == "assigned":
-        strong = m.rlike(r"(?i)^(?:token|secret|api|access|passw|pwd)") & m.rlike(r"[0-9].*[0-9]")
-    return strong | F.exists(base, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]) & (b["kind"] != "email"))
-
-
-def _grow(rows: list[tuple[tuple[int, ...], float, float]], rounds: int, rate: float) -> list[tuple[int, int, int, int, list[float]]]:
+    # an assignment is judged by its value
+    value = F.regexp_extract(m, r"[A-Za-z0-9+/_.-]+$", 0) if generator == "assigned" else m
+    near = F.substring(F.concat(F.repeat(F.lit(" "), _NEAR), text), span["start"] + 1, F.lit(_NEAR))
+    before = F.concat(near, F.substring(m, 1, 20)) if generator == "assigned" else near
+
+    def of(v: Column) -> Column:
+        left = lambda pattern: F.length(F.regexp_replace(v, pattern, ""))
+        is_ = lambda test: F.when(test, F.lit(1)).otherwise(F.lit(0))
+        switches = F.length(F.regexp_replace(v, r"([A-Za-z](?=[0-9])|[0-9](?=[A-Za-z]))|(?s:.)", "$1"))
+        kinds = F.size(F.array_distinct(F.split(F.lower(v), "")))
+        return F.array(
+            F.lit(GENERATORS.index(generator)),
+            F.least(F.length(v), F.lit(70)),
+            F.least(left("[^0-9]"), F.lit(24)),
+            F.least(left("[^A-Z]"), F.lit(8)),
+            F.least(left("[A-Za-z0-9]"), F.lit(6)),
+            F.least(switches, F.lit(10)),
+            F.least(kinds, F.lit(24)),
+            is_(v.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")),
+            is_(v.rlike(r"(?:^|[^0-9])(?:19|20)[0-9]{2}-?[01][0-9]-?[0-3][0-9]")),
+            is_(v.rlike(r"[A-Za-z]{5,}")),
+            F.when(left("[^0-9]").between(12, 19), is_(luhn(v))).otherwise(F.lit(0)),
+            let(before, lambda b: is_(b.rlike(_SECRET))),
+            let(near, lambda b: is_(b.rlike(_PERSON))),
+            let(near, lambda b: is_(b.rlike(_THING))),
+        )
+
+    return let(value, of)
+
+
+def _grow(rows: list[tuple[tuple[int, ...], float, float]], rounds: int, rate: float) -> list[tuple]:
     """Boosted trees for log loss on weighted rows (features, positives, negatives): each is two splits and four leaves."""
-    width = len(rows[0][0])
-    cuts = [(f, v) for f in range(width) for v in sorted({r[0][f] for r in rows})[:-1]]
-    score = [0.0] * len(rows)
-    trees = []
-
-    def gain(of: list[int], grad: list[float], hess: list[float]) -> tuple[float, tuple[int, int]]:
-        g, h, best = sum(grad[i] for i in of), sum(hess[i] for i in of), (0.0, (0, 1 << 30))
-        for f, v in cuts:
-            a = [i for i in of if rows[i][0][f] <= v]
-            ga, ha = sum(grad[i] for i in a), sum(hess[i] for i in a)
-            now = ga * ga / (ha + 1) + (g - ga) ** 2 / (h - ha + 1) - g * g / (h + 1)
-            best = max(best, (now, (f, v)))
+    width, score, trees = len(rows[0][0]), [0.0] * len(rows), []
+
+    def split(of: list[int], grad: list[float], hess: list[float]) -> tuple[float, int, int]:
+        """Gain, feature and value of the best cut: rows up to the value go left."""
+        g, h, best = sum(grad[i] for i in of), sum(hess[i] for i in of), (0.0, 0, 1 << 30)
+        for f in range(width):
+            sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+            for i in of:
+                s = sums[rows[i][0][f]]
+                s[0] += grad[i]
+                s[1] += hess[i]
+            ga = ha = 0.0
+            for v in sorted(sums)[:-1]:
+                ga, ha = ga + sums[v][0], ha + sums[v][1]
+                best = max(best, (ga * ga / (ha + 1) + (g - ga) ** 2 / (h - ha + 1) - g * g / (h + 1), f, v))
         return best
 
     for _ in range(rounds):
         p = [1 / (1 + math.exp(-s)) for s in score]
         grad = [y - (y + n) * q for (_, y, n), q in zip(rows, p, strict=True)]
         hess = [(y + n) * q * (1 - q) for (_, y, n), q in zip(rows, p, strict=True)]
-        won, (f, v) = gain(list(range(len(rows))), grad, hess)
+        won, f, v = split(list(range(len(rows))), grad, hess)
         if won <= 1e-9:
             break
         tree: list = [f, v]
         for side in (True, False):
             of = [i for i in range(len(rows)) if (rows[i][0][f] <= v) == side]
-            _, (f2, v2) = gain(of, grad, hess)
+            _, f2, v2 = split(of, grad, hess)
             leaves = []
             for low in (True, False):
                 end = [i for i in of if (rows[i][0][f2] <= v2) == low]
@@ -183,17 +198,20 @@ def _value(trees: list, x: list) -> float:
 
 
 class Model:
-    """Trees and the score that a proposal must reach."""
+    """Trees and the score that a proposal of each generator must reach."""
 
-    def __init__(self, trees: list, threshold: float):
-        self.trees, self.threshold = trees, threshold
+    def __init__(self, trees: list, thresholds: dict[str, float]):
+        self.trees, self.thresholds = trees, thresholds
 
-    def accepts(self, x: list[Column]) -> Column:
-        total = F.lit(0.0)
-        for f, v, low, high in self.trees:
-            leaf = lambda t: F.when(x[t[0]] <= t[1], F.lit(t[2])).otherwise(F.lit(t[3]))
-            total = total + F.when(x[f] <= v, leaf(low)).otherwise(leaf(high))
-        return F.round(total, 6) >= F.lit(self.threshold)
+    def accepts(self, generator: str, x: Column) -> Column:
+        def told(x: Column) -> Column:
+            total = F.lit(0.0)
+            for f, v, low, high in self.trees:
+                leaf = lambda t: F.when(x[t[0]] <= t[1], F.lit(t[2])).otherwise(F.lit(t[3]))
+                total = total + F.when(x[f] <= v, leaf(low)).otherwise(leaf(high))
+            return F.round(total, 6) >= F.lit(self.thresholds.get(generator, math.inf))
+
+        return let(x, told)
 
 
 def _valid(kind: str) -> Column:
@@ -204,18 +222,13 @@ def _as_kind(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def _vectors(generator: str) -> Column:
-    """Features and label of a generator's proposals."""
-    return F.transform(F.col(f"s_{generator}"), lambda s: F.struct(F.array(*features(generator, F.col("text"), s)).alias("x"), _label(generator, s, F.col("base")).alias("y")))
-
-
 def _accepted(generator: str, model: Model) -> Column:
-    return F.filter(F.col(f"s_{generator}"), lambda s: model.accepts(features(generator, F.col("text"), s))).alias(f"s_{generator}")
+    return F.filter(F.col(f"s_{generator}"), lambda s: model.accepts(generator, features(generator, F.col("text"), s))).alias(f"s_{generator}")
 
 
-def _with_base(docs: DataFrame) -> DataFrame:
+def _with_base(docs: DataFrame, kind: str = "long") -> DataFrame:
     """doc_id, text, every kind's and generator's spans, and the valid base spans in order."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = out.select("*", *[_pieces(F.col("text"), k).alias(f"p_{k}") for k in PATTERN])
     out = out.select("doc_id", "text", *[_spans(F.col(f"p_{k}")).alias(f"s_{k}") for k in PATTERN])
     out = out.select("doc_id", "text", *[_valid(k) for k in KINDS], *[f"s_{g}" for g in GENERATORS])
@@ -223,24 +236,45 @@ def _with_base(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS], *[f"s_{g}" for g in GENERATORS], F.concat(*base).alias("base"))
 
 
-def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, rate: float = RATE, precision: float = PRECISION) -> Model | None:
-    n = docs.count()
-    share = min(1.0, max_docs / n) if n else 0.0
-    some = docs if share == 1.0 else docs.where(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) < F.lit(int(share * (1 << 30))))
-    rows = _with_base(some.where(F.col("text").rlike("[0-9]")))
-    counts = rows.select(F.explode(F.concat(*map(_vectors, GENERATORS))).alias("c")).groupBy("c.x").agg(F.sum(F.col("c.y").cast("long")).alias("y"), F.count(F.lit(1)).alias("n")).collect()
-    table = sorted((tuple(r["x"]), float(r["y"]), float(r["n"] - r["y"])) for r in counts)
-    if not table or not any(y for _, y, _ in table):
-        return None
-    trees = _grow(table, rounds, rate)
-    scored = sorted(((_value(trees, x), y, n) for x, y, n in table), reverse=True)
-    right = wrong = 0.0
-    threshold = None
-    for i, (s, y, n) in enumerate(scored):
-        right, wrong = right + y, wrong + n
-        if (i + 1 == len(scored) or scored[i + 1][0] < s) and right >= precision * (right + wrong):
-            threshold = s
-    return None if threshold is None else Model(trees, threshold)
+def _counted(spark: SparkSession, n: int) -> list[tuple[int, tuple[int, ...], float, float]]:
+    """(fold, features, positives, negatives) of the proposals of n examples; folds 0 and 1 fit, 2 calibrates, 3 measures."""
+    rows = _with_base(examples(spark, n).select(F.struct("id", "private").alias("doc_id"), "text"), "struct<id:bigint,private:boolean>")
+    described = lambda g: F.transform(F.col(f"s_{g}"), lambda s: features(g, F.col("text"), s))
+    vectors = F.concat(*map(described, GENERATORS))
+    fold = F.pmod(F.xxhash64("doc_id.id"), F.lit(4)).cast("int")
+    each = rows.select(fold.alias("fold"), F.col("doc_id.private").cast("long").alias("y"), F.explode(vectors).alias("x"))
+    counts = each.groupBy("fold", "x").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r["fold"], tuple(r["x"]), float(r["y"]), float(r["n"] - r["y"])) for r in counts)
+
+
+def fit(spark: SparkSession, *, n: int = EXAMPLES, rounds: int = ROUNDS, rate: float = RATE, precision: float = PRECISION) -> Model:
+    """The model of n generated examples."""
+    return _fitted(_counted(spark, n), rounds, rate, precision)
+
+
+def _fitted(counts: list, rounds: int = ROUNDS, rate: float = RATE, precision: float = PRECISION) -> Model:
+    trees = _grow([c[1:] for c in counts if c[0] < 2], rounds, rate)
+    thresholds = {}
+    for k, generator in enumerate(GENERATORS):
+        scored = sorted(((_value(trees, x), y, n) for fold, x, y, n in counts if fold == 2 and x[0] == k), reverse=True)
+        right = wrong = 0.0
+        for i, (s, y, n) in enumerate(scored):
+            right, wrong = right + y, wrong + n
+            if (i + 1 == len(scored) or scored[i + 1][0] < s) and right >= precision * (right + wrong):
+                thresholds[generator] = s
+    return Model(trees, thresholds)
+
+
+def measured(spark: SparkSession, *, n: int = EXAMPLES) -> dict[str, tuple[float, float, int]]:
+    """Precision, recall and proposals of each generator on the examples that neither fit nor calibrate."""
+    counts = _counted(spark, n)
+    model = _fitted(counts)
+    out = {}
+    for k, generator in enumerate(GENERATORS):
+        own = [(_value(model.trees, x) >= model.thresholds.get(generator, math.inf), y, m) for fold, x, y, m in counts if fold == 3 and x[0] == k]
+        right, taken, real = sum(y for a, y, _ in own if a), sum(y + m for a, y, m in own if a), sum(y for _, y, _ in own)
+        out[generator] = (right / taken if taken else 1.0, right / real if real else 1.0, int(sum(y + m for _, y, m in own)))
+    return out
 
 
 def _joined(spans: Column) -> Column:
@@ -253,12 +287,9 @@ def _clear(spans: Column, kind: str, taken: Column) -> Column:
     return _as_kind(free, kind)
 
 
-def find(docs: DataFrame, model: Model | None) -> DataFrame:
+def find(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, the base counts, base (array), spans (array): one row for each row of docs."""
-    rows = _with_base(docs)
-    out = rows
-    if model is None:
-        return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.col("base").alias("spans"))
+    out = _with_base(docs)
     out = out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", *[_accepted(g, model) for g in GENERATORS])
     # a kind at a time: what an earlier one has taken is closed to the later ones
     out = out.withColumn("one", _clear(F.col("s_assigned"), "secret", F.col("base")))
@@ -269,6 +300,6 @@ def find(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def redact_digest(docs: DataFrame, **options) -> DataFrame:
-    """The columns of the query: counts, base_sha256 and spans as text."""
-    found = find(docs, fit(docs, **options))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    """The columns of the query: counts, base_sha256, spans as text, and how many spans there are in all."""
+    found = find(docs, fit(docs.sparkSession, **options))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
