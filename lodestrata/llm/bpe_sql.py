@@ -112,13 +112,14 @@ class Coder:
             if len(p) == 1:
                 self.byte[p[0]] = i
         self.words = Recent(CACHE_WORDS)
-        self.folder = tempfile.mkdtemp(prefix="bpe-")
 
     def __enter__(self) -> Coder:
         import duckdb
 
         pieces, merges = self.pieces, self.merges
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.folder})
+        # what doesn't fit in memory goes to the executor's own disk and away with the task
+        self.folder = tempfile.TemporaryDirectory(prefix="bpe-")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.folder.name})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "t": merges[:, 2]})
         self.db.register("m", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -132,6 +133,7 @@ class Coder:
     def __exit__(self, *_) -> None:
         """Gives back the database's memory: the process may wait for other tasks."""
         self.db.close()
+        self.folder.cleanup()
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words])

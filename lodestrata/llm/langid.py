@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .wordbatch import chunks
@@ -28,7 +28,6 @@ ROWS = 256
 MAX_TRAIN = 1600
 CLUSTERS = 4
 REJECT = 0.3
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:65] = 32
@@ -133,28 +132,51 @@ def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, clusters: int = CLUSTERS
     return Model(idf, c, langs, reject * float(near[len(near) // 1000]))
 
 
+def _verdicts(model: Model | None, text: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected of each text."""
+    known = np.array([t is not None and _LETTER.search(t) is not None for t in text.to_pylist()], dtype=bool)
+    score, lang, rejected = np.zeros(len(known)), np.full(len(known), "und", dtype=object), ~known
+    if model is not None and len(known):
+        cosine = vectors(gram_counts(data, offsets), model.idf) @ model.centres.T
+        best = cosine.argmax(axis=1)
+        score = np.where(known, np.clip(np.round(cosine[np.arange(len(best)), best].astype(float), 6), 0, 1), 0.0)
+        lang = np.where(known, np.array(model.langs, dtype=object)[best], "und")
+        rejected = ~known | (score < model.least)
+    return lang, score, rejected
+
+
 def _predict(model: Model | None):
+    """Adds lang_pred, score and rejected to a column to keep and a text, which is left out."""
+
     def run(batches):
         for batch in batches:
-            text = batch.column(2)
+            text = batch.column(1)
             for first, last, data, offsets in chunks(folded(text), 1 << 19, ROWS):
-                known = np.array([t is not None and _LETTER.search(t) is not None for t in text.slice(first, last - first).to_pylist()], dtype=bool)
-                score, lang = np.zeros(last - first), np.full(last - first, "und", dtype=object)
-                rejected = ~known
-                if model is not None and len(known):
-                    cosine = vectors(gram_counts(data, offsets), model.idf) @ model.centres.T
-                    best = cosine.argmax(axis=1)
-                    score = np.where(known, np.clip(np.round(cosine[np.arange(len(best)), best].astype(float), 6), 0, 1), 0.0)
-                    lang = np.where(known, np.array(model.langs, dtype=object)[best], "und")
-                    rejected = ~known | (score < model.least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                lang, score, rejected = _verdicts(model, text.slice(first, last - first), data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=["row", "lang_pred", "score", "rejected"])
 
     return run
 
 
+def _model(docs: DataFrame, **options) -> Model | None:
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return fit(rows.where(~fold & F.col("doc_id").isNotNull()), **options)
+
+
+def _judged(docs: DataFrame, kept: Column, model: Model | None) -> DataFrame:
+    rows = docs.select(kept.alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_predict(model), f"row {kind}, lang_pred string, score double, rejected boolean")
+
+
 def identify(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang); documents whose crc32(doc_id) mod 4 is 2 are never learned from."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    model = fit(rows.where(~fold & F.col("doc_id").isNotNull()), **options)
-    return rows.select("doc_id", fold.alias("held_out"), "text").mapInArrow(_predict(model), RESULT)
+    kept = F.struct(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"))
+    return _judged(docs, kept, _model(docs, **options)).select("row.*", "lang_pred", "score", "rejected")
+
+
+def recognised(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not rejected: each row carries its own verdict."""
+    return _judged(docs, F.struct(*docs.columns), _model(docs, **options)).where("not rejected").select("row.*")

@@ -2,9 +2,12 @@
 
 Documents are sets of distinct `k`-word shingles (hashed to 56 bits) and link when 100 * intersection >= percent * union.
 
+0. Every document gets the size of its set and two independent 64-bit digests of it. Equal sets are one set by the
+   first digest; where sets of one first digest differ in the second, their second one stands in for it, so nothing is
+   merged that 128 bits tell apart.
 1. Each task sends the shingles of its distinct sets to buckets by hash, packed by run of texts. A bucket counts in how
-   many distinct sets a shingle stands and tells those that stand in two or more. Equal sets are one set by their
-   64-bit digest, so copies cost one row for each run and are never paired.
+   many distinct sets a shingle stands and tells those that stand in two or more; copies cost one row for each run and
+   are never paired.
 2. A set can only link when enough of its shingles stand elsewhere too; the others are done. For those that remain, any
    two that link share one of the first n - ceil(percent * n) + 1 shingles in order of rarity. Sets connected by such
    shingles form blocks, and no link crosses blocks.
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import Forest, components
@@ -63,21 +66,38 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return doc, h, n, mix(sums[ends] - sums[ends - n] + mix(n.astype(U64))).view(np.int64)
 
 
+def second_digest(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Another digest of the sets whose sorted hashes are h, n of each, one after another."""
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(mix(h ^ U64(0x2545F4914F6CDD1D)) * U64(0x9FB21C651E98DF25)), dtype=U64)))
+    ends = np.cumsum(n)
+    return mix((sums[ends] - sums[ends - n]) ^ mix(n.astype(U64) + U64(77))).view(np.int64)
+
+
+def told_apart(digest: np.ndarray, second: np.ndarray, doubtful: np.ndarray) -> np.ndarray:
+    """One digest for each set: the second in place of those that stand for several sets."""
+    return np.where(np.isin(digest, doubtful), second, digest) if len(doubtful) else digest
+
+
 def _members(k: int):
+    """Size and both digests of each row's set, beside the columns to keep; the text comes last and is left out."""
+
     def run(batches):
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column(1), RUN_BYTES):
-                _, _, n, digest = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(digest)], names=["doc_id", "n_shingles", "sid"])
+            names = batch.schema.names[:-1]
+            for first, last, data, offsets in chunks(batch.column(batch.num_columns - 1), RUN_BYTES):
+                _, h, n, digest = shingle_sets(data, offsets, k)
+                kept = [batch.column(c).slice(first, last - first) for c in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n.astype(np.int64)), pa.array(digest), pa.array(second_digest(h, n))], names=[*names, "n_shingles", "sid", "second"])
 
     return run
 
 
-def _send(k: int, buckets: int):
+def _send(k: int, buckets: int, doubtful: np.ndarray):
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0), RUN_BYTES):
                 doc, h, n, digest = shingle_sets(data, offsets, k)
+                digest = told_apart(digest, second_digest(h, n), doubtful) if len(doubtful) else digest
                 _, once = np.unique(digest, return_index=True)
                 mine = np.zeros(len(n), dtype=bool)
                 mine[once] = True
@@ -297,12 +317,55 @@ def _join_tiles(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, k: int = K, percent: int = PERCENT, chars_per_bucket: int = CHARS_PER_BUCKET, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _rooted(docs: DataFrame, kept: list[str], k: int, percent: int, chars_per_bucket: int, tile: int) -> DataFrame:
+    """The columns kept, n_shingles and root of each row of docs: rows of one root are connected, and a row without shingles has no root."""
+    rows = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars, n_rows = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).head()
     buckets = max(8, (chars or 0) // chars_per_bucket + 1)
-    sent = rows.select("text").mapInArrow(_send(k, buckets), "bucket int, sids binary, sizes binary, counts binary, hashes binary")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1])
+    members = cut(rows.mapInArrow(_members(k), f"{kinds}, n_shingles long, sid long, second long"))
+    # sets that one digest doesn't tell apart: n * n / 2**65 of n sets, none as a rule
+    doubtful = members.where("n_shingles > 0").groupBy("sid").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b")
+    doubtful = np.array(sorted(r[0] for r in doubtful.select("sid").collect()), dtype=np.int64)
+    if len(doubtful):
+        members = members.withColumn("sid", F.when(F.col("sid").isin(doubtful.tolist()), F.col("second")).otherwise(F.col("sid")))
+    linked = _linked(rows, k, percent, buckets, tile, n_rows, doubtful)
+    rooted = members.drop("second").join(linked.select(F.col("node").alias("sid"), F.col("root").alias("found")), "sid", "left")
+    return rooted.select(*kept, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("found", "sid")).alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, k: int = K, percent: int = PERCENT, chars_per_bucket: int = CHARS_PER_BUCKET, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs (doc_id, text)."""
+    rooted = _rooted(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], k, percent, chars_per_bucket, tile)
+    # texts without shingles have no root and link with nothing
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r")
+    found = rooted.join(least, F.col("root") == F.col("r"), "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, k: int = K, percent: int = PERCENT, chars_per_bucket: int = CHARS_PER_BUCKET, tile: int = TILE) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays of each group of near duplicates: that of least doc_id, null last.
+
+    Rows are told apart by a 128-bit hash of id and text; of rows that repeat both, one stays. Every text without
+    shingles is a group of its own, so all such rows that differ stay.
+    """
+    ids = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull()]
+    keyed = docs.withColumns({"__h": F.xxhash64(*ids), "__g": F.xxhash64(F.lit("near"), *ids[::-1]), "__id": F.col("doc_id").cast("long")})
+    rooted = _rooted(keyed, ["__id", "__h", "__g"], k, percent, chars_per_bucket, tile)
+    # of a group the row whose struct is least; rows without a root are groups by themselves
+    order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__h").alias("h"), F.col("__g").alias("g"))
+    groups = rooted.groupBy("root", F.when(F.col("root").isNull(), order).alias("alone")).agg(F.min(order).alias("o"))
+    repeats = rooted.groupBy("__h", "__g").agg(F.count(F.lit(1)).alias("__n"))
+    stays = groups.select(F.col("o.h").alias("__h"), F.col("o.g").alias("__g")).distinct().join(repeats, ["__h", "__g"])
+    kept = keyed.drop("__id").join(stays, ["__h", "__g"])
+    once = kept.where("__n = 1").select(*docs.columns)
+    more = kept.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__h", "__g").orderBy(*[c for c, t in docs.dtypes if not t.startswith("map")])))
+    return once.unionByName(more.where("__r = 1").select(*docs.columns))
+
+
+def _linked(rows: DataFrame, k: int, percent: int, buckets: int, tile: int, n_rows: int, doubtful: np.ndarray) -> DataFrame:
+    """node and root of every set that links with another one."""
+    sent = rows.select("text").mapInArrow(_send(k, buckets, doubtful), "bucket int, sids binary, sizes binary, counts binary, hashes binary")
     told = sent.repartition(max(partitions(rows), buckets), "bucket").mapInArrow(_count(buckets), _TOLD)
     sets = cut(told.groupBy("target").applyInArrow(_survivors(percent), "sid long, n long, keys binary, prefix binary"))
     # sets that share a shingle of their prefixes are of one block
@@ -333,12 +396,7 @@ def near_duplicates(docs: DataFrame, *, k: int = K, percent: int = PERCENT, char
         guests = large.join(loose, "sid", "left_semi").withColumn("tile", every).withColumn("asked", F.lit(True))
         more = joined(large.withColumn("asked", F.lit(False)).unionByName(guests))
         linked = components(found.union(more))
-    members = rows.mapInArrow(_members(k), "doc_id long, n_shingles long, sid long")
-    rooted = members.join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    # texts without shingles have one digest and link with nothing
-    least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    rooted = rooted.join(least.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & (F.col("n_shingles") > 0), "left")
-    return rooted.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return linked
 
 
 ORACLE = r"""

@@ -14,7 +14,7 @@ Texts are encoded by the tokenizers library's model: each distinct match of the
 process, as no token crosses matches; `matches` finds them for many texts at once.
 
 Null texts count as empty and have the end id alone. A null doc_id is stored as the smallest 64-bit integer and comes
-first. Rows with one doc_id stand side by side, in order of length and ids. Other columns are ignored. Strings of
+first. Rows with one doc_id stand side by side, in order of length. Other columns are ignored. Strings of
 the vocabulary's added tokens in a text become those tokens, as in the library's plain encode: such texts go through it.
 """
 
@@ -169,7 +169,7 @@ def _serialized(path: str):
 
 def train(docs: DataFrame, path: str, *, max_sample: int = MAX_SAMPLE, max_sample_chars: int = MAX_SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary for short documents; without enough text, none (no bytes)."""
-    n = docs.select("doc_id").count()
+    n = docs.count()
     share = min(1.0, (2 * max_sample + 20) / n) if n else 0.0
     h = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))
     some = docs.where(h <= F.lit(int(share * (1 << 30)))).where(F.length("text").between(1, max_sample_chars)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_sample)
@@ -229,7 +229,10 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, shard_bytes:
     spark = docs.sparkSession
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "hash string, dictionary binary").write.mode("overwrite").parquet(f"{folder}/dictionary")
     # texts are dealt before they are encoded: dealing by range reads its input twice
-    dealt = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0]
+    # rows that share a doc_id are dealt by their text, so no id is one task; in its order they come by length
+    by = [F.col("doc_id").asc_nulls_first(), F.length("text").asc(), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(partitions(rows, size), *by).sortWithinPartitions(*by, "text")
     shards = dealt.mapInArrow(_pack_partition(path, dictionary, width, shard_bytes), "part int, seq int, n_tokens long, shard binary")
     shards.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/shards")
 
@@ -252,8 +255,12 @@ def read_digest(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of the files."""
     dictionary = bytes(spark.read.parquet(f"{folder}/dictionary").head()["dictionary"])
     shards = spark.read.parquet(f"{folder}/shards")
-    # a row for each shard of megabytes; starts follow the order of ranges
-    starts = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # starts follow the order of ranges: one number for each range in one window, the shards of a range in another
+    each = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = each.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    starts = shards.select("part", "seq", own.alias("own")).join(base, F.col("part") == F.col("p")).select("part", "seq", (F.col("base") + F.col("own")).alias("before"))
     rows = shards.select("part", "seq", "shard").mapInArrow(_read(dictionary), RESULT).join(starts, ["part", "seq"])
     return rows.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
