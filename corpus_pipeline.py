@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of documents. Empty tables stay empty; columns beyond those of documents are dropped
-by the first stage.
+by the first stage. Null ids and ids that several rows share are ids like others: every row goes or stays by its own
+text, of rows that repeat id and text one stays, and the mix counts copies by row. Null texts are rejected by the first
+stage. Ties go to the row of most code points, then of least id (null last), then of least lang, source and n_chars.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that language ID rejects go."""
-    known = langid.identify(docs).where("not rejected").select(F.col("doc_id").alias("__id"))
-    return docs.select(*COLUMNS).join(known.distinct(), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    return langid.recognised(docs.select(*COLUMNS))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates."""
-    kept = ngram_join.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.select(*COLUMNS).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    """The document of least id of each group of near duplicates, as one row."""
+    return ngram_join.representatives(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
