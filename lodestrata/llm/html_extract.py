@@ -9,7 +9,11 @@ to its ancestors, halved after the parent and falling with the distance; each an
 with most points stays together with those siblings that score near it or read like running text; their blocks, in
 page order, are the result.
 
-Null and empty pages give an empty text; a page without any container gives the text of what is left of its body.
+Null and empty pages give an empty text; a page without any container gives the text of what is left of its body. Of
+containers of equal points the one met first in the walk of the tree stays, the same in every run. Pages of any length
+are read whole, and the tree is walked without recursion. An unclosed script, style or the like ends
+with the page, as in browsers; an unclosed drawing, formula, object, template or noscript is left out by its tag alone.
+Repeated rows give repeated results; columns beyond page_id, url and html are ignored.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line feeds.
 """
 
@@ -28,6 +32,8 @@ _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)\s*+(?:=
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object".split())
+#: Of those, the ones whose content is markup: without an end tag they don't swallow the page.
+_MARKUP = frozenset("noscript template svg math object".split())
 #: Never article text.
 DROP = RAW | frozenset("head nav footer aside form button select option input label fieldset dialog menu canvas audio video map applet".split())
 BLOCK = frozenset("html body p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address header hgroup details summary center hr".split())
@@ -86,6 +92,7 @@ def parse(page: str) -> Node:
     """The element tree; strings among the children are text with references decoded."""
     root = top = Node("#root", None)
     at, end = 0, len(page)
+    unclosed: set[str] = set()  # raw elements that have no end tag further on
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
@@ -129,8 +136,12 @@ def parse(page: str) -> Node:
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            if stop:
+                at = stop.end()
+            else:
+                unclosed.add(tag)
+                at = at if tag in _MARKUP else end
             continue
         top = new
     return root

@@ -7,7 +7,8 @@ language's vectors are clustered into a few centroids by spherical k-means; a te
 largest cosine. It is rejected when that cosine is under `reject` times the lowest but a thousandth of the training
 cosines: text unlike anything learned. A rejected text still names the nearest language in lang_pred.
 
-Null text and text without any letter: lang_pred `und`, score 0, rejected. Without training rows every text is `und`.
+Null text and text without any letter: lang_pred `und`, score 0, rejected. Without training rows every text is `und`, but
+only those are rejected. Of languages of equal cosine the first by name wins.
 Repeated rows give repeated results; other columns are ignored.
 """
 
