@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .matches import Recent, encode_texts
-from .wordbatch import chunks
+from .wordbatch import chunks, release
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes that a generation of known words may take, about, and bytes of text that are encoded together.
-CACHE_WORDS, TEXT_BYTES = 64 << 20, 8 << 20
+CACHE_WORDS, TEXT_BYTES = 32 << 20, 3 << 20
 #: Words up to this many bytes are contracted a pair at a time; rows that one recursive query may make, about.
-SHORT, ROWS = 48, 4_000_000
+SHORT, ROWS = 48, 2_000_000
 #: Tokens of documents that are decoded together.
-DECODE_TOKENS = 400_000
+DECODE_TOKENS = 200_000
 
 #: Rows are tokens of n bytes at pos; best has rank, place and length of a word's leftmost pair of minimum rank, and q its second token's place.
 _STEP = """
@@ -119,7 +119,7 @@ class Coder:
         pieces, merges = self.pieces, self.merges
         # what doesn't fit in memory goes to the executor's own disk and away with the task
         self.folder = tempfile.TemporaryDirectory(prefix="bpe-")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.folder.name})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": self.folder.name})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "t": merges[:, 2]})
         self.db.register("m", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -134,6 +134,7 @@ class Coder:
         """Gives back the database's memory: the process may wait for other tasks."""
         self.db.close()
         self.folder.cleanup()
+        release()
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words])

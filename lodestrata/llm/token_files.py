@@ -38,7 +38,7 @@ from .storage import partitions, shared_folder
 from .wordbatch import chunks
 
 #: Bytes that a generation of known matches may take, about, and bytes of text that are encoded together.
-CACHE_WORDS, TEXT_BYTES = 64 << 20, 8 << 20
+CACHE_WORDS, TEXT_BYTES = 64 << 20, 4 << 20
 END = 0
 LEVEL = 3
 SHARD_BYTES = 4 << 20

@@ -6,6 +6,7 @@ sums, so one pass over the bytes hashes every word and one pass over the words h
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,14 @@ def text_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data, offsets
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can: task processes are used again."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 31) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, offsets from 0) of runs of texts of about `limit` bytes, `most` texts at most."""
     data, offsets = text_column(column)
@@ -81,6 +90,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 31) -> I
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
     _powers.clear()  # made again for the next batch in a moment; a process that waits for work holds none
+    release()
 
 
 class Words:
