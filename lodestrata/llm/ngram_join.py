@@ -37,7 +37,7 @@ from .wordbatch import BASES, U64, Words, chunks, mix, prefix, span_hash, text_c
 
 K, PERCENT = 5, 80
 GROUPS, LEAF, FAN = 64, 16, 8
-TILE, PIVOTS = 2048, 16
+TILE, PIVOTS = 256, 16
 CHARS_PER_BUCKET = 16_000_000
 RUN_BYTES = 3 << 20
 SETS_PER_SLOT = 1000

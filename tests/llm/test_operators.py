@@ -90,7 +90,7 @@ def test_html_table(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tile", [2048, 2])
+@pytest.mark.parametrize("tile", [256, 2])
 def test_ngram_join(docs, empty, tile):
     sets = []
     for i, t, *_ in ROWS:
