@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -169,11 +168,10 @@ def size_histogram(s, d):
 
 
 @query(f"""WITH {LINES}, x AS (SELECT doc_id, idx, {SENTENCES} AS s FROM el), y AS (SELECT doc_id, idx::INT AS chunk, (generate_subscripts(s, 1) - 1)::INT AS p FROM x)
-SELECT doc_id, chunk, p, p = 0 AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, p)::INT AS step FROM y""")
+SELECT doc_id, chunk, p, p = 0 AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, p)::INT AS step FROM y QUALIFY count(*) OVER (PARTITION BY doc_id) >= 5""")
 def sentence_trajectory(s, d):
     said = E.from_lines(documents(s, d)).select("doc_id", "idx", F.posexplode(T.sentences(F.col("text"))).alias("p", "s"))
-    step = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "p"))
-    return said.select("doc_id", F.col("idx").alias("chunk"), "p", (F.col("p") == 0).alias("opens"), step.alias("step"))
+    return evaluate.trajectory(said.select("doc_id", F.col("idx").alias("chunk"), "p"), "doc_id", ["chunk", "p"], F.col("p") == 0)
 
 
 @query()

@@ -77,14 +77,22 @@ def figure_order(s, d):
     return views.figure_order(names.union(more))
 
 
-@query("""SELECT l.lang, s.source, r.n, r.mean FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s
-LEFT JOIN (SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL) r ON r.lang = l.lang AND r.source = s.source""")
+_COMPARED = """SELECT l.lang, s.source, r.n, r.mean FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s
+LEFT JOIN (SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL) r ON r.lang = l.lang AND r.source = s.source"""
+
+
+@query(_COMPARED)
 def comparison_matrix(s, d):
     docs = documents(s, d)
     runs = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
     return views.comparison(docs.select("lang").distinct(), docs.select("source").distinct(), runs, ["lang", "source"])
 
 
+@query(f"SELECT '| ' || concat_ws(' | ', lang, source, coalesce(n::VARCHAR, '-')) || ' |' AS line FROM ({_COMPARED})")
+def comparison_markdown(s, d):
+    return views.markdown_rows(comparison_matrix(s, d), ["lang", "source", "n"]).select("line")
+
+
 @query("SELECT * FROM (VALUES ('text', 'done'), ('vectors', 'partial'), ('figures', 'pending')) t(stage, status)")
 def stage_status(s, d):
     want = [("text", "documents.parquet"), ("text", "pages.parquet"), ("vectors", "embeddings.parquet"), ("vectors", "none.npy"), ("figures", "none.png")]

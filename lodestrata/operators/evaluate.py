@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vectors import adjacent, dot, pairwise_mean
 
-LEAST_HEADING, SAMPLE, CUT = 4, 5, 60
+LEAST_HEADING, SAMPLE, CUT, LEAST_STEPS = 4, 5, 60, 5
 
 
 def size_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -102,6 +102,13 @@ def strategy(name: str, chunks: DataFrame, sentences: DataFrame, asked: DataFram
         F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *zero, sample, F.lit(None).cast("string").alias("_error"))
 
 
+def trajectory(sentences: DataFrame, group: str, order: list[str], first: Column) -> DataFrame:
+    """Sentences in order with their step and whether they open a chunk; groups of fewer than five have no trajectory."""
+    step = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    n = F.count(F.lit(1)).over(Window.partitionBy(group))
+    return sentences.withColumns({"opens": first, "step": step, "__n": n}).where(F.col("__n") >= LEAST_STEPS).drop("__n")
+
+
 def histogram(rows: DataFrame, by: str, value: str, bins: int = 20) -> DataFrame:
     """Counts in equal bins from the least to the largest value; the last bin is closed."""
     ends = rows.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"))

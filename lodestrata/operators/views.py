@@ -119,3 +119,9 @@ def transitions(log: DataFrame, key: str, order: list[str], state: str) -> DataF
 def comparison(a: DataFrame, b: DataFrame, runs: DataFrame, on: list[str]) -> DataFrame:
     """Every combination of two option lists, with its runs' figures where it has run; the combinations are the result."""
     return a.crossJoin(b).join(runs, on, "left")
+
+
+def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row as a line of a markdown table; a missing value shows as a dash."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+    return rows.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
