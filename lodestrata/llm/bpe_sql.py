@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .matches import Recent, encode_texts
-from .wordbatch import chunks, release
+from .wordbatch import chunks, keep, release
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes that a generation of known words may take, about, and bytes of text that are encoded together.
-CACHE_WORDS, TEXT_BYTES = 32 << 20, 3 << 20
+CACHE_WORDS, TEXT_BYTES = 24 << 20, 2 << 20
 #: Words up to this many bytes are contracted a pair at a time; rows that one recursive query may make, about.
-SHORT, ROWS = 48, 2_000_000
+SHORT, ROWS = 48, 1_200_000
 #: Tokens of documents that are decoded together.
-DECODE_TOKENS = 200_000
+DECODE_TOKENS = 100_000
 
 #: Rows are tokens of n bytes at pos; best has rank, place and length of a word's leftmost pair of minimum rank, and q its second token's place.
 _STEP = """
@@ -119,7 +119,7 @@ class Coder:
         pieces, merges = self.pieces, self.merges
         # what doesn't fit in memory goes to the executor's own disk and away with the task
         self.folder = tempfile.TemporaryDirectory(prefix="bpe-")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": self.folder.name})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": self.folder.name})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "t": merges[:, 2]})
         self.db.register("m", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -214,6 +214,7 @@ def coder(key: str, pieces: list[bytes], merges: np.ndarray) -> Coder:
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(pieces, merges)
+    keep("bpe", _coders.clear)
     return _coders[key]
 
 
@@ -222,7 +223,7 @@ def _run(key: str, shared):
         pieces, merges = shared.value
         with coder(key, pieces, merges) as code:
             for batch in batches:
-                for first, last, data, offsets in chunks(batch.column(1), TEXT_BYTES):
+                for first, last, data, offsets in chunks(batch.column(1), TEXT_BYTES, owner="bpe"):
                     ids = code.encode(data, offsets)
                     back = code.decode(ids)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

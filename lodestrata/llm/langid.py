@@ -147,14 +147,15 @@ def _verdicts(model: Model | None, text: pa.Array, data: np.ndarray, offsets: np
 
 
 def _predict(model: Model | None):
-    """Adds lang_pred, score and rejected to a column to keep and a text, which is left out."""
+    """Adds lang_pred, score and rejected to a struct to keep; the text is a column of its own, or that of the struct."""
 
     def run(batches):
         for batch in batches:
-            text = batch.column(1)
+            row = batch.column(0)
+            text = batch.column(1) if batch.num_columns > 1 else row.field("text")
             for first, last, data, offsets in chunks(folded(text), 1 << 19, ROWS):
                 lang, score, rejected = _verdicts(model, text.slice(first, last - first), data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=["row", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([row.slice(first, last - first), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=["row", "lang_pred", "score", "rejected"])
 
     return run
 
@@ -165,8 +166,7 @@ def _model(docs: DataFrame, **options) -> Model | None:
     return fit(rows.where(~fold & F.col("doc_id").isNotNull()), **options)
 
 
-def _judged(docs: DataFrame, kept: Column, model: Model | None) -> DataFrame:
-    rows = docs.select(kept.alias("row"), F.col("text").cast("string").alias("text"))
+def _judged(rows: DataFrame, model: Model | None) -> DataFrame:
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predict(model), f"row {kind}, lang_pred string, score double, rejected boolean")
 
@@ -175,9 +175,12 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang); documents whose crc32(doc_id) mod 4 is 2 are never learned from."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     kept = F.struct(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"))
-    return _judged(docs, kept, _model(docs, **options)).select("row.*", "lang_pred", "score", "rejected")
+    rows = docs.select(kept.alias("row"), F.col("text").cast("string").alias("text"))
+    return _judged(rows, _model(docs, **options)).select("row.*", "lang_pred", "score", "rejected")
 
 
 def recognised(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, whose text is not rejected: each row carries its own verdict."""
-    return _judged(docs, F.struct(*docs.columns), _model(docs, **options)).where("not rejected").select("row.*")
+    # texts travel once, within their rows
+    kept = F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return _judged(docs.select(kept.alias("row")), _model(docs, **options)).where("not rejected").select("row.*")

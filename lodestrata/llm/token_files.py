@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .matches import Recent, encode_texts
 from .storage import partitions, shared_folder
-from .wordbatch import chunks
+from .wordbatch import chunks, keep
 
 #: Bytes that a generation of known matches may take, about, and bytes of text that are encoded together.
 CACHE_WORDS, TEXT_BYTES = 64 << 20, 4 << 20
@@ -122,6 +122,7 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)
+    keep("tokens", _encoders.clear)
     return _encoders[path]
 
 
@@ -161,7 +162,7 @@ def _serialized(path: str):
     def run(batches):
         code = encoder(path)
         for batch in batches:
-            ids = [i for _, _, data, offsets in chunks(batch.column(0), TEXT_BYTES) for i in code.plain(data, offsets)]
+            ids = [i for _, _, data, offsets in chunks(batch.column(0), TEXT_BYTES, owner="tokens") for i in code.plain(data, offsets)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
@@ -205,7 +206,7 @@ def _pack_partition(path: str, dictionary: bytes, width: int, shard_bytes: int):
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, last, data, offsets in chunks(batch.column(1), TEXT_BYTES):
+            for first, last, data, offsets in chunks(batch.column(1), TEXT_BYTES, owner="tokens"):
                 for doc_id, got in zip(ids[first:last], code.plain(data, offsets), strict=True):
                     got += end
                     doc_ids.append(NO_ID if doc_id is None else doc_id)

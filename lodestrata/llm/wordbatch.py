@@ -7,7 +7,7 @@ sums, so one pass over the bytes hashes every word and one pass over the words h
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +81,26 @@ def release() -> None:
         trim(0)
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 31) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, forget: Callable[[], None]) -> None:
+    """Says that an operator keeps something in this process from task to task, and how to forget it."""
+    _kept[owner] = forget
+
+
+def _alone(owner: str) -> None:
+    """Forgets what other operators keep: a process that now works for one of them need not hold it."""
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        _kept.pop(k)()
+    if others:
+        release()
+
+
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 31, owner: str = "") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, offsets from 0) of runs of texts of about `limit` bytes, `most` texts at most."""
+    _alone(owner)
     data, offsets = text_column(column)
     first, n = 0, len(offsets) - 1
     while first < n:
