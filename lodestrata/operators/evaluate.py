@@ -64,19 +64,18 @@ def first_relevant(asked: DataFrame, chunks: DataFrame, group: str, relevant) ->
     return rows.withColumn("first_rank", F.when(F.col("__best").isNotNull(), before + 1)).select(*asked.columns, "first_rank")
 
 
-def recall(first: DataFrame, by: list[str], at: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def recall(first: DataFrame, by: list[str], at: tuple[int, ...] = (1, 3, 5), sample: bool = False) -> DataFrame:
+    """Queries of a group and the share of them whose first relevant chunk is among the first so many.
+
+    With a sample, the first five queries too (gt_sid, q, first_rel_rank from 0), as an array.
+    """
     hit = [F.bround(F.avg(F.coalesce((F.col("first_rank") <= k).cast("int"), F.lit(0))), 3).alias(f"recall_{k}") for k in at]
+    if sample:
+        row = F.struct(F.col("gt").alias("gt_sid"), F.substring("query", 1, CUT).alias("q"), (F.col("first_rank") - 1).alias("first_rel_rank"))
+        hit.append(F.slice(F.array_sort(F.collect_list(row)), 1, SAMPLE).alias("sample"))
     return first.groupBy(*by).agg(F.count(F.lit(1)).alias("n_queries"), *hit)
 
 
-def query_sample(first: DataFrame, by: list[str]) -> DataFrame:
-    """The first five queries of a group with their rank, from 0, as an array (q, gt_sid, first_rel_rank)."""
-    order = F.row_number().over(Window.partitionBy(*by).orderBy("gt"))
-    some = first.withColumn("__r", order).where(F.col("__r") <= SAMPLE)
-    row = F.struct(F.col("gt").alias("gt_sid"), F.substring("query", 1, CUT).alias("q"), (F.col("first_rank") - 1).alias("first_rel_rank"))
-    return some.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("sample"))
-
-
 def missing_strategy(asked: DataFrame, name: str) -> DataFrame:
     """A row for a strategy that has no chunks, for each document that has queries."""
     kinds = "n bigint, mean double, std double, least bigint, p10 double, median double, p90 double, most bigint, coherence double, similarity double, n_queries bigint, recall_1 double, recall_3 double, recall_5 double, sample array<struct<gt_sid:bigint,q:string,first_rel_rank:int>>"
@@ -93,7 +92,7 @@ def strategy(name: str, chunks: DataFrame, sentences: DataFrame, asked: DataFram
     first = first_relevant(asked, chunks.select("doc_id", "id", "v", "covers"), "doc_id", lambda c: F.array_contains(c["covers"], F.col("gt").cast("long")))
     rows = size_stats(chunks.withColumn("n_chars", F.col("n_chars").cast("long")), ["doc_id"], "n_chars")
     rows = rows.join(intra_coherence(sentences, ["doc_id", "id"], "vector"), "doc_id", "left").join(inter_adjacent(chunks, "doc_id", "id", "v"), "doc_id")
-    rows = rows.join(recall(first, ["doc_id"]), "doc_id", "left").join(query_sample(first, ["doc_id"]), "doc_id", "left")
+    rows = rows.join(recall(first, ["doc_id"], sample=True), "doc_id", "left")
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("recall_1", "recall_3", "recall_5")]
     sample = F.col("sample").cast("array<struct<gt_sid:bigint,q:string,first_rel_rank:int>>").alias("sample")
     return rows.select(
