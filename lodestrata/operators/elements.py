@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Collection
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,12 +34,22 @@ _ENDS = {"li": ({"li"}, _BLOCKS - {"li", "address", "div", "p"}), "td": ({"td",
 _ENDS |= {tag: ({"dd", "dt"}, _BLOCKS - {"dd", "dt", "address", "div", "p"}) for tag in ("dd", "dt")}
 
 
-def html_texts(page: str | None) -> list[tuple[str, str]]:
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+def _closed(text: str) -> str:
+    """The text with those references decoded that a semicolon ends; others stay as they are written."""
+    return _REFERENCE.sub(lambda m: entities.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
+
+
+def html_texts(page: str | None, open_references: bool = True) -> list[tuple[str, str]]:
     """Type and text of every heading, list item and paragraph of a page, in order of their opening tags.
 
     Text belongs to the innermost of them that holds it, whatever tags stand between; an unclosed one ends where HTML
-    ends it. References are decoded and white space becomes one space; scripts, styles and comments are no text.
+    ends it. References are decoded, those without a semicolon as in HTML (`&amp` is `&`) unless open_references is
+    false; white space becomes one space; scripts, styles and comments are no text.
     """
+    decode = entities.unescape if open_references else _closed
     found: list[tuple[str, list[str]]] = []
     stack: list[tuple[str, int]] = []  # open blocks, each with the place of the element its text belongs to
     page = page or ""
@@ -63,14 +74,14 @@ def html_texts(page: str | None) -> list[tuple[str, str]]:
 
     while True:
         m = _TOKEN.search(page, at)
-        say(entities.unescape(page[at : m.start() if m else len(page)]))
+        say(decode(page[at : m.start() if m else len(page)]))
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
         if not m[1] and tag in ("script", "style", "textarea", "title"):
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
             if tag in ("textarea", "title"):
-                say(entities.unescape(page[at : stop.start() if stop else len(page)]))
+                say(decode(page[at : stop.start() if stop else len(page)]))
             at = stop.end() if stop else len(page)
         elif tag in ("br", "hr") or tag in _BLOCKS:
             say(" ")
@@ -94,16 +105,20 @@ def html_texts(page: str | None) -> list[tuple[str, str]]:
     return [(kind, " ".join("".join(parts).split())) for kind, parts in found]
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("text", StringType())])))
-def _html_texts(pages: pd.Series) -> pd.Series:
-    return pd.Series([[{"type": k, "text": t} for k, t in html_texts(p)] for p in pages], dtype=object)
+def from_html(pages: DataFrame, open_references: bool = True) -> DataFrame:
+    """Headings, list items and paragraphs of each page, in order, with their whole text; empty ones are left out.
 
+    open_references as in `html_texts`.
+    """
+
+    @F.pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("text", StringType())])))
+    def texts(pages: pd.Series) -> pd.Series:
+        return pd.Series([[{"type": k, "text": t} for k, t in html_texts(p, open_references)] for p in pages], dtype=object)
 
-def from_html(pages: DataFrame) -> DataFrame:
-    """Headings, list items and paragraphs of each page, in order, with their whole text; empty ones are left out."""
-    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(_html_texts(F.col("html"))).alias("idx", "e"))
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(texts(F.col("html"))).alias("idx", "e"))
     return rows.select("doc_id", "idx", "e.type", "e.text").where("text <> ''")
 
+
 def type_counts(elements: DataFrame) -> DataFrame:
     return elements.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 

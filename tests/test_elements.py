@@ -3,8 +3,10 @@
 import html
 import re
 
+import duckdb
 import pyarrow.parquet as pq
 
+from lodestrata import catalogue
 from lodestrata.operators import elements as E
 
 H, I, P = E.HEADER, E.ITEM, E.TEXT
@@ -35,3 +37,17 @@ def test_given_pages(spark):
     assert any(t == I for _, _, t, _ in want)
     nulls = spark.createDataFrame([(1, None), (2, ""), (3, "<li><b>x</b>")], "page_id long, html string")
     assert [tuple(r) for r in E.from_html(nulls).collect()] == [(3, 0, I, "x")]
+
+
+def test_references_without_semicolon(spark, tmp_path):
+    """The operator reads them as HTML does; the queries leave them, as their SQL does."""
+    page = "<h1>A &amp;&amp;&amp</h1><p>&copy; 1 &copy 2 &quot;b&quot</p><li>&middot;&bogus; &#65;&#65"
+    assert E.html_texts(page) == [(H, "A &&&"), (P, '© 1 © 2 "b"'), (I, "·&bogus; AA")]
+    assert E.html_texts(page, False) == [(H, "A &&&amp"), (P, '© 1 &copy 2 "b&quot'), (I, "·&bogus; A&#65")]
+    spark.createDataFrame([(1, page.split("<li>")[0]), (2, "<p>x &amp</p>"), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("html_elements",):
+        found = catalogue.queries()[name](spark, str(tmp_path))
+        want = db.sql(catalogue.oracle_sql()[name])
+        assert {tuple(r) for r in found.select(want.columns).collect()} == set(want.fetchall()) and found.count() > 0
