@@ -1,27 +1,29 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words and neighbouring pairs of words fall into `buckets` buckets by hash. The raw multinomial counts every document;
-the target multinomial counts the trusted ones, at most `max_target` of them, chosen by hash of their id (the bound of
-the labelled sample). A document's score is the mean over its n-grams of log p_target - log p_raw, the target smoothed
-by `buckets` draws from raw. The threshold is a low quantile of the scores of trusted documents that the target didn't
-count, so a document is kept unless it is less like the trusted text than nearly all unseen trusted text; every
+the target multinomial counts every other trusted one, in the order of a hash of their ids. A document's score is the mean over its n-grams of log p_target - log p_raw, the target smoothed
+by `buckets` draws from raw. The threshold is a low quantile of the scores of all trusted documents that the target
+didn't count, so a document is kept unless it is less like the trusted text than nearly all unseen trusted text; every
 document is compared with it, so reruns agree.
 
 Null and empty texts have no words: all counts 0, score 0, base_failed. Without trusted documents, the threshold is
-minus infinity. Repeated rows give repeated results; other columns of the input are ignored.
+minus infinity. Repeated rows give repeated results; other columns of the input are ignored. Trusted ids are sent to
+every executor as long as they are `broadcast` at most; more of them meet the texts by a shuffle, with the same results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .wordbatch import U64, Words, chunks, mix, repeated, span_hash, BASES
 
 BUCKETS = 1 << 14
-MAX_TARGET = 20_000
+#: Trusted ids that are sent to executors at most.
+BROADCAST = 1_000_000
 QUANTILE = 0.001
 #: The threshold is this far below the quantile; it is a mean of log ratios.
 MARGIN = 0.02
@@ -63,13 +65,13 @@ def base_counts(words: Words, sums: np.ndarray, hashes: np.ndarray) -> dict[str,
     return {"n_words": words.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines - distinct, "n_repeat_words": words.per_doc(words.covered(twice, 8))}
 
 
-def _count(target: np.ndarray, buckets: int):
-    """n-gram counts of a task's texts, raw and target: one row for each bucket met."""
+def _count(buckets: int):
+    """n-gram counts of a task's texts (doc_id, text, whether the target counts it), raw and target: one row for each bucket met."""
 
     def run(batches):
         raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            trusted = np.isin(batch.column(0).to_numpy(zero_copy_only=False), target)
+            trusted = batch.column(2).to_numpy(zero_copy_only=False)
             for first, last, data, offsets in chunks(batch.column(1)):
                 words = Words(data, offsets)
                 bucket, doc = ngrams(words, words.hashes(), buckets)
@@ -99,22 +101,40 @@ def _score(ratio: np.ndarray, threshold: float):
     return run
 
 
-def quality(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, max_target: int = MAX_TARGET, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def halves(trusted: DataFrame) -> DataFrame:
+    """doc_id and held of each trusted id: in the order of their hash the first is counted, the second held out, and so on."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    # the place in that order is the place within a slice of the hashes, after all the ids of the slices before
+    ids = ids.withColumn("h", F.xxhash64("doc_id")).withColumn("slice", F.shiftright("h", 52))
+    before = F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = ids.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).select("slice", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("slice").orderBy("h", "doc_id")) - 1
+    return ids.join(F.broadcast(slices), "slice").select("doc_id", (place % 2 == 1).alias("held"))
+
+
+def _quantile(scores: DataFrame, quantile: float) -> float | None:
+    """The quantile of all scores, interpolated; null without any. The scores are kept on disk, only the lowest are sorted."""
+    scores = scores.persist(StorageLevel.DISK_ONLY)
+    n = scores.count()
+    at = (n - 1) * quantile
+    near = [r[0] for r in scores.orderBy("score").offset(int(at)).limit(2).collect()] if n else []
+    scores.unpersist()
+    return float(np.quantile(near, (at - int(at)) * (len(near) - 1))) if near else None
+
+
+def quality(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, quantile: float = QUANTILE, margin: float = MARGIN, broadcast: int = BROADCAST) -> DataFrame:
     """One row for each row of docs (doc_id, text); trusted: the ids of documents of the target."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most 2 * max_target labelled ids: half are counted, half set the threshold
-    ids = [r[0] for r in trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_target).collect()]
-    fit, held = np.array(sorted(ids[::2]), dtype=np.int64), np.array(sorted(ids[1::2]), dtype=np.int64)
-    counts = texts.mapInArrow(_count(fit, buckets), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
+    ids = halves(trusted)
+    # half of the ids are counted, half set the threshold
+    small = F.broadcast if trusted.select("doc_id").distinct().count() <= broadcast else lambda df: df
+    told = texts.join(small(ids.where("not held")), "doc_id", "left").select("doc_id", "text", F.col("held").isNotNull().alias("counted"))
+    counts = told.mapInArrow(_count(buckets), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
     raw, good = np.zeros(buckets), np.zeros(buckets)
     for b, r, g in counts:
         raw[b], good[b] = r, g
     raw = (raw + 0.5) / (raw + 0.5).sum()
     ratio = np.log((good + buckets * raw) / (good.sum() + buckets)) - np.log(raw)
-    threshold = -np.inf
-    if len(held):
-        some = texts.where(F.col("doc_id").isin(held.tolist())) if len(held) <= 100 else texts.join(F.broadcast(texts.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id long")), "doc_id", "left_semi")
-        scores = [r[0] for r in some.mapInArrow(_score(ratio, -np.inf), RESULT).where("not base_failed").select("score").collect()]
-        if scores:
-            threshold = float(np.quantile(scores, quantile)) - margin
-    return texts.mapInArrow(_score(ratio, threshold), RESULT)
+    held = texts.join(small(ids.where("held").select("doc_id")), "doc_id", "left_semi")
+    low = _quantile(held.mapInArrow(_score(ratio, -np.inf), RESULT).where("not base_failed").select("score"), quantile)
+    return texts.mapInArrow(_score(ratio, -np.inf if low is None else low - margin), RESULT)

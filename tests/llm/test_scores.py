@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import langid, quality
 from lodestrata.llm.wordbatch import Words, text_column
@@ -52,6 +54,35 @@ def test_quality(spark):
     assert len(kept & set(range(60))) >= 45 and not kept & set(range(100, 115)) and not kept & {300, 301, 302}
 
 
+def test_all_trusted(spark):
+    """Every trusted id counts, however many there are, whether they are sent to the executors or shuffled."""
+    ids = spark.range(90_000)
+    halves = quality.halves(ids.withColumnRenamed("id", "doc_id").union(ids))
+    order = [r[0] for r in ids.orderBy(F.xxhash64("id"), "id").collect()]
+    assert {r.doc_id for r in halves.where("held").collect()} == set(order[1::2]) and halves.count() == 90_000
+    # the text of one id only that a cut at 40,000 ids would leave out, on either side: both tell in the scores
+    few = "alpha beta gamma delta " * 6
+    docs = spark.createDataFrame([(order[50_000], few), (order[60_001], few + "x"), (100_001, "other words here now " * 6), (100_002, None)], SCHEMA)
+    found = [{r.doc_id: r for r in quality.quality(docs, ids.withColumnRenamed("id", "doc_id"), broadcast=n).collect()} for n in (10, 1_000_000)]
+    assert found[0] == found[1]
+    buckets = quality.BUCKETS
+    raw, good = Counter(), Counter(_buckets(few, buckets))
+    for t in (few, few + "x", "other words here now " * 6):
+        raw.update(_buckets(t, buckets))
+    total = sum(raw.values()) + 0.5 * buckets
+    p = [(raw[b] + 0.5) / total for b in range(buckets)]
+    ratio = [math.log((good[b] + buckets * p[b]) / (sum(good.values()) + buckets)) - math.log(p[b]) for b in range(buckets)]
+    assert abs(found[0][order[50_000]].score - sum(ratio[b] for b in _buckets(few, buckets)) / 47) < 1e-6
+
+
+def test_quantile(spark):
+    for n in (0, 1, 2, 7, 3001):
+        values = [random.Random(n).random() for _ in range(n)]
+        scores = spark.createDataFrame([(v,) for v in values], "score double").repartition(5)
+        for q in (0.0, 0.001, 0.3, 1.0):
+            assert quality._quantile(scores, q) == (None if not n else pytest.approx(float(np.quantile(values, q)), abs=1e-12))
+
+
 def _vector(text, idf):
     """Counts of hashed byte 2- and 3-grams, one at a time."""
     out = np.zeros(langid.DIM)
