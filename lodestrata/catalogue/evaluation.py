@@ -156,9 +156,7 @@ def strategy_report(s, d):
 @query()
 def coarse_report(s, d):
     """The report over the whole way, with a strategy that has no chunks; tests hold it against a plain restatement."""
-    fine = coarse.structural(elements(s, d))
-    found = segment.coarse_chunks(segment.solved(coarse.units(fine)))
-    return coarse.report(fine, {"structural": fine, "semantic_coarse": found, "semantic_fine": None})
+    return coarse.whole_report(elements(s, d), ("structural", "semantic_coarse", "semantic_fine"))
 
 
 @query("""WITH e AS (SELECT lang, min(n_chars) AS low, (max(n_chars) - min(n_chars)) / 20.0::DOUBLE AS w FROM documents GROUP BY lang)

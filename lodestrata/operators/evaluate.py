@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import adjacent, dot, pairwise_mean
+from .vectors import adjacent, dot, pairwise_mean, sum_rows
 
 LEAST_HEADING, SAMPLE, CUT, LEAST_STEPS = 4, 5, 60, 5
+#: What a report says of a strategy's chunks of a document.
+MEASURES = "n bigint, mean double, std double, least bigint, p10 double, median double, p90 double, most bigint, coherence double, similarity double, n_queries bigint, recall_1 double, recall_3 double, recall_5 double, sample array<struct<gt_sid:bigint,q:string,first_rel_rank:int>>"
+#: Pairs of queries and chunks that `first_ranks` holds at a time.
+PAIRS = 1 << 20
 
 
 def size_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -78,8 +85,7 @@ def recall(first: DataFrame, by: list[str], at: tuple[int, ...] = (1, 3, 5), sam
 
 def missing_strategy(asked: DataFrame, name: str) -> DataFrame:
     """A row for a strategy that has no chunks, for each document that has queries."""
-    kinds = "n bigint, mean double, std double, least bigint, p10 double, median double, p90 double, most bigint, coherence double, similarity double, n_queries bigint, recall_1 double, recall_3 double, recall_5 double, sample array<struct<gt_sid:bigint,q:string,first_rel_rank:int>>"
-    none = [F.lit(None).cast(k.split(" ", 1)[1]).alias(k.split(" ", 1)[0]) for k in kinds.split(", ")]
+    none = [F.lit(None).cast(k.split(" ", 1)[1]).alias(k.split(" ", 1)[0]) for k in MEASURES.split(", ")]
     return asked.select("doc_id").distinct().select("doc_id", F.lit(name).alias("strategy"), *none, F.lit(f"missing {name}").alias("_error"))
 
 
@@ -101,6 +107,59 @@ def strategy(name: str, chunks: DataFrame, sentences: DataFrame, asked: DataFram
         F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *zero, sample, F.lit(None).cast("string").alias("_error"))
 
 
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """Values times 1e9, rounded as F.round rounds to nine places: by their shortest decimals, halves away from zero."""
+    size = np.abs(values) * 1e9
+    whole = np.floor(size + 0.5)
+    for at in zip(*np.nonzero(np.abs(size - np.floor(size) - 0.5) < 1e-6), strict=True):
+        whole[at] = float((Decimal(repr(float(abs(values[at])))) * 10**9).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.copysign(whole, values)
+
+
+def first_ranks(qv: np.ndarray, v: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """first_relevant of one document as arrays: for each query (row of qv) the rank from 1 of the chunk (row of v, by id) at owner."""
+    found, step = np.zeros(len(qv), np.int64), max(1, PAIRS // max(1, len(v)))
+    for i in range(0, len(qv), step):
+        q, own = qv[i : i + step], owner[i : i + step, None]
+        near = np.zeros((len(q), len(v)))
+        for d in range(v.shape[1]):  # in the order of dot()
+            near += q[:, d, None] * v[None, :, d]
+        near = _rounded(near)
+        best = np.take_along_axis(near, own, axis=1)
+        found[i : i + step] = 1 + ((near > best) | ((near == best) & (np.arange(len(v)) < own))).sum(axis=1)
+    return found
+
+
+def measured(n_chars: np.ndarray, v: np.ndarray, said: np.ndarray, n_said: np.ndarray, owner: np.ndarray, gt: list[int], query: list[str], qv: np.ndarray) -> dict:
+    """MEASURES of one document's chunks, in the order of their ids, as `strategy` has them but not rounded.
+
+    n_chars, v, n_said: characters, vector and number of sentences of each chunk; said: the vectors of all sentences, in
+    order; gt, query, qv: queries by gt; owner: the place of the one chunk that covers each gt.
+    """
+    n, sizes = len(n_chars), np.sort(n_chars).astype(float)
+
+    def percentile(p: float) -> float:
+        at = (n - 1) * p
+        low, high = int(np.floor(at)), int(np.ceil(at))
+        return float(sizes[low] if sizes[low] == sizes[high] else (high - at) * sizes[low] + (at - low) * sizes[high])
+
+    k = n_said[n_said > 1].astype(float)
+    total = sum_rows(said, n_said)[n_said > 1]
+    cosines = ((total * total).sum(axis=1) - k) / (k * (k - 1))
+    rank = first_ranks(qv, v, owner)
+    out = {"n": n, "mean": float(n_chars.sum() / n), "std": float(sizes.std()), "least": int(n_chars.min()), "p10": percentile(0.1), "median": percentile(0.5), "p90": percentile(0.9), "most": int(n_chars.max())}
+    out |= {"coherence": float(cosines.mean()) if len(k) else 0.0, "similarity": float((v[1:] * v[:-1]).sum(axis=1).mean()) if n > 1 else 0.0, "n_queries": len(gt)}
+    out |= {f"recall_{at}": float((rank <= at).sum() / len(gt)) if len(gt) else 0.0 for at in (1, 3, 5)}
+    sample = [{"gt_sid": g, "q": q[:CUT], "first_rel_rank": int(r) - 1} for g, q, r in zip(gt[:SAMPLE], query[:SAMPLE], rank[:SAMPLE], strict=True)]
+    return out | {"sample": sample or None}
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Rows of MEASURES rounded as `strategy` rounds them."""
+    places = {"coherence": 4, "similarity": 4, "recall_1": 3, "recall_3": 3, "recall_5": 3}
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p10", "median", "p90")} | {c: F.bround(c, n) for c, n in places.items()})
+
+
 def trajectory(sentences: DataFrame, group: str, order: list[str], first: Column) -> DataFrame:
     """Sentences in order with their step and whether they open a chunk; groups of fewer than five have no trajectory."""
     step = F.row_number().over(Window.partitionBy(group).orderBy(*order))

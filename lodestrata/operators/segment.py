@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 ALPHA, BETA = 1.0, 0.3
+#: Numbers of segments' vectors that `solve` holds at a time, but for one unit's.
+CELLS = 1 << 21
 
 
 def target_k(total: Column) -> Column:
@@ -33,15 +35,19 @@ def solve(vectors: np.ndarray, chars: np.ndarray, crossing: np.ndarray, target:
     sums = np.vstack([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0)])
     length, cross = np.concatenate(([0], np.cumsum(chars))), np.cumsum(crossing)
     best, parent = np.zeros(n + 1), np.zeros(n + 1, dtype=int)
-    for j in range(1, n + 1):
-        size = j - np.arange(j)
-        span = sums[j] - sums[:j]
+    step = max(1, min(16, CELLS // max(1, sums.size)))
+    for begin in range(1, n + 1, step):  # costs of all segments that end at one of so many units, then the recurrence over those ends
+        end = np.arange(begin, min(begin + step, n + 1))
+        last = int(end[-1])
+        size = end[:, None] - np.arange(last)
+        span = sums[end, None] - sums[None, :last]
         pairs = np.maximum(size * (size - 1), 1)
-        loose = np.where(size > 1, 1 - ((span * span).sum(axis=1) - size) / pairs, 0.0)
-        cost = loose + alpha * ((length[j] - length[:j] - target) / target) ** 2 + beta * (cross[j - 1] - cross[:j])
-        total = np.round(best[:j] + cost, 12)
-        parent[j] = int(np.argmin(total))
-        best[j] = total[parent[j]]
+        loose = np.where(size > 1, 1 - ((span * span).sum(axis=2) - size) / pairs, 0.0)
+        cost = loose + alpha * ((length[end, None] - length[:last] - target) / target) ** 2 + beta * (cross[end - 1, None] - cross[:last])
+        for row, j in enumerate(end.tolist()):
+            total = np.round(best[:j] + cost[row, :j], 12)
+            parent[j] = int(np.argmin(total))
+            best[j] = total[parent[j]]
     starts, cosines, j = [], [], n
     while j:
         i = int(parent[j])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -79,6 +83,35 @@ def hashed_vector(text: Column, dim: int = 32) -> Column:
     return F.coalesce(T.let(buckets, lambda b: T.let(counts(b), unit)), zeros(dim))
 
 
+@lru_cache(1 << 16)
+def _bucket(word: str) -> int:
+    return int(md5(word.encode()).hexdigest()[:8], 16)
+
+
+def hashed_array(texts: list[str], dim: int = 32) -> np.ndarray:
+    """hashed_vector of each text, to the bit, for code that works on whole documents: one row for each."""
+    words = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    place = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), np.int64, len(words)))
+    buckets = np.fromiter(map(_bucket, chain.from_iterable(words)), np.int64, len(place)) % dim
+    return unit_rows(np.bincount(place * dim + buckets, minlength=len(texts) * dim).reshape(-1, dim).astype(float))
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """unit() of each row, to the bit."""
+    norm = np.sqrt(np.cumsum(rows * rows, axis=1)[:, -1:])
+    return rows / np.where(norm > 0, norm, 1.0)
+
+
+def sum_rows(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of so many rows each, one after the other, added in order as a fold adds them."""
+    out, first = np.zeros((len(counts), rows.shape[1])), np.cumsum(counts) - counts
+    longest = np.argsort(-counts, kind="stable")
+    for i in range(int(counts.max(initial=0))):
+        longest = longest[counts[longest] > i]
+        out[longest] += rows[first[longest] + i]
+    return out
+
+
 def pooled_vector(text: Column, dim: int = 32) -> Column:
     """Unit vector of the mean of the hashed vectors of a text's sentences; zeros for a text without words."""
     add = lambda total, s: F.zip_with(total, hashed_vector(s, dim), lambda x, y: x + y)
